@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.operators import sessions
+from lumenfold.operators import sessions, units
 from lumenfold.sources.tables import table
 
 
@@ -16,6 +16,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_sessions(spark, folder).select("user_id", "start_ms", "end_ms", "n_events")
 
 
+def p7_units(spark: SparkSession, folder: str) -> DataFrame:
+    return units.harmonised(table(spark, folder, "extracted"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers with a stated unit; those whose unit only the history tells are no cases here."""
+    return (
+        units.harmonised(table(spark, folder, "extracted"))
+        .where("stated")
+        .selectExpr("key as entry_id", "quantity", "common_value")
+        .distinct()
+    )
+
+
 _SESSIONS = """
 WITH e AS (
   SELECT DISTINCT lower(trim(user_id)) AS user_id, id, epoch_ms(CAST(ts AS TIMESTAMP)) AS end_ms,
@@ -34,5 +48,5 @@ SELECT user_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms{}, count(*) AS
 FROM g GROUP BY user_id, nr
 """
 
-QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions}
+QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p7_found": p7_found, "p7_units": p7_units}
 ORACLE = {"p2_found": _SESSIONS.format(""), "p2_sessions": _SESSIONS.format(", max(end_ms) - min(start_ms) AS duration_ms")}
