@@ -122,7 +122,9 @@ def unit_segments(values: DataFrame, penalty: float = 4.0, block: int = BLOCK, t
     gap = F.abs(F.col("shift"))
     factor = F.coalesce(*[F.when(F.abs(gap - f) <= tolerance, F.signum("shift") * f) for f in FACTORS])
     levels = levels.withColumn("shift", F.col("level") - F.lag("level").over(w)).withColumn("factor", factor.cast("int"))
-    return cut.drop("level").join(levels, ["source", "b", "segment"])
+    levels = levels.toDF(*[f"_{c}" for c in levels.columns])
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("b") == F.col("_b")) & (F.col("segment") == F.col("_segment"))
+    return cut.join(levels, same).selectExpr("source", "key", "pos", "quantity", "log_raw", "power", "common_value", "segment", "_level AS level", "_usual AS usual", "_shift AS shift", "_factor AS factor")
 
 
 def harmonised(rows: DataFrame, **names: str) -> DataFrame:
