@@ -37,3 +37,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+    """df with column: 0, 1, ... in the order of the given columns, without one task seeing all rows.
+
+    The rows are range-partitioned and written once; a number is the place in
+    the partition plus the sizes of the partitions before it. order must be
+    total, else ties are numbered in any order.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    placed = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").count()  # one row a partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    here = Window.partitionBy("_part").orderBy(*order)
+    return (
+        placed.withColumn(column, F.row_number().over(here).cast("bigint"))
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(column, F.col(column) + F.col("_offset") - 1)
+        .drop("_part", "_offset")
+    )
