@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import term_counts
+from lumenfold.llm import leaks, mixing, term_counts
 from lumenfold.sources.tables import table
 
 
@@ -17,6 +17,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark is not null").select("term", "mark")
 
 
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "paper_eval_items_v2"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_leaks(spark, folder).where("verbatim").select("doc_id", "item_id").distinct()
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 _TERMS = """
 WITH r AS (SELECT chunk_index, lower(text) AS t FROM papers_index),
 runs AS (
@@ -33,5 +49,5 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS}

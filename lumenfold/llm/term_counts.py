@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.plans import lineage
@@ -68,19 +68,9 @@ def _block_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def dictionary(distinct: DataFrame) -> DataFrame:
     """(term, term_id): ids from 0 without gaps, in the order of the terms.
 
-    The terms are range-partitioned and sorted; an id is the place within the
-    partition plus the sizes of the partitions before it.
+    An id is the place within a range partition plus the sizes of those before it.
     """
-    placed = lineage.written(distinct.repartitionByRange("term").withColumn("part", F.spark_partition_id()), "terms")
-    sizes = placed.groupBy("part").count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))  # one row a partition
-    here = Window.partitionBy("part").orderBy("term")
-    return (
-        placed.withColumn("nr", F.row_number().over(here))
-        .join(F.broadcast(offsets), "part")
-        .select("term", (F.col("offset") + F.col("nr") - 1).alias("term_id"))
-    )
+    return lineage.numbered(distinct, ["term"], "term_id", "terms")
 
 
 def term_counts(rows: DataFrame, text: str = "text", id_range: int = ID_RANGE) -> DataFrame:
