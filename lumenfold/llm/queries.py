@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, mixing, term_counts
+from lumenfold.llm import leaks, mixing, splitting, term_counts
 from lumenfold.sources.tables import table
 
 
@@ -17,6 +18,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark is not null").select("term", "mark")
 
 
+def _oversized(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.ranges(table(spark, folder, "papers_index").where(f"length(text) > {splitting.LIMIT}"), "chunk_index", "text")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.boundary_kinds(_oversized(spark, folder)).selectExpr("cast(id as bigint) as chunk_index", "boundary")
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(_oversized(spark, folder)).withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", "chunk_index")
+
+
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "paper_eval_items_v2"))
 
@@ -49,5 +62,5 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS}
