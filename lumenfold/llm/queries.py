@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, mixing, splitting, term_counts
+from lumenfold.llm import leaks, mixing, pairs, splitting, term_counts
 from lumenfold.sources.tables import table
 
 
@@ -30,6 +30,12 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(_oversized(spark, folder)).withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", "chunk_index")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    logged = pairs.log_pairs(table(spark, folder, "chat_log"))
+    answered = pairs.evaluation_pairs(table(spark, folder, "paper_eval_answers_v3"), table(spark, folder, "paper_eval_items_v2"))
+    return pairs.defects(logged.unionByName(answered)).distinct()
+
+
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "paper_eval_items_v2"))
 
@@ -62,5 +68,5 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS}
