@@ -160,7 +160,8 @@ def redacted(rows: DataFrame, fields: tuple[str, ...], path: str = MODEL) -> Dat
                 out.append((None, None) if found is None else (redact(t, found), sorted({KINDS[k] for _, _, k in found})))
             yield pd.DataFrame(out, columns=["text", "kinds"])
 
-    udf = F.pandas_udf(work, "text string, kinds array<string>")
+    # Not deterministic for the optimizer: merged projections would run it once for each use.
+    udf = F.pandas_udf(work, "text string, kinds array<string>").asNondeterministic()
     for f in fields:
         rows = rows.withColumn("_redacted", udf(F.col(f))).withColumn(f, F.col("_redacted.text")).withColumn(f"{f}_kinds", F.col("_redacted.kinds")).drop("_redacted")
     return rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, mixing, pairs, splitting, term_counts
+from lumenfold.llm import leaks, mixing, pairs, pii, splitting, term_counts
 from lumenfold.sources.tables import table
 
 
@@ -18,6 +18,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark is not null").select("term", "mark")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.kinds(table(spark, folder, "chat_log"), "id", ("prompt", "answer"))
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    log = table(spark, folder, "chat_log").select("id", "prompt", "answer").dropDuplicates(["id"])
+    return pii.redacted(log, ("prompt", "answer"))
+
+
 def _oversized(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.ranges(table(spark, folder, "papers_index").where(f"length(text) > {splitting.LIMIT}"), "chunk_index", "text")
 
@@ -68,5 +77,5 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS}
