@@ -44,10 +44,11 @@ ASKED = {
 }
 _CJK = re.compile(r"[㐀-䶿一-鿿]")
 _WORD = re.compile(r"[^\W\d_㐀-䶿一-鿿]+")
-_SENTENCE = re.compile(r"[^.。!！?？\n]*(?:[.。!！?？]+(?![0-9])[\"”’」）)]*|\n|[^\n](?=\n|\Z)|\Z)")
+_SENTENCE = re.compile(r"[^.。!！?？\n]+(?:\.(?=\d)[^.。!！?？\n]*)*[.。!！?？]*[\"”’」）)]*|[.。!！?？]+")
 _TRAIL = re.compile(r"(?:\s|\[[\d,\s\-–]+\]|[（(][^（()）\n]{1,60}[)）]|[\U0001F000-\U0001FAFF☀-➿️])+\Z")
 _ITEM = re.compile(r"\s*(?:\d+[.)、．]|[-*•·])\s*(.*)\Z", re.S)
 _LABELLED = re.compile(r"\s*[^:：\n]{1,24}[:：]\s*\S")
+_NOT_ALNUM = re.compile(r"[\W_]+")
 _LABEL = re.compile(r"\A\s*[\"“「]?[^:：\n]{1,24}[:：]\s*(?=\S)")
 _CONTACT = re.compile(r"(?:[\w.+-]+[@＠][\w.-]+|[\d０-９](?:[\d０-９Xx\s().\-]{4,})[\d０-９Xx])\s*\Z")
 _SIGNED = re.compile(r"(?:regards|best|yours|sincerely|cheers|greetings|此致|敬上)[,，\s]", re.I)
@@ -105,8 +106,24 @@ def copied(prompt: str, response: str, least: int = 4) -> int:
     return covered
 
 
+def is_copy(prompt: str, response: str) -> bool:
+    """Whether at least nine tenths of response stand in long runs of prompt (both bare).
+
+    Only long runs count: words of the question are no copy of it. A run of
+    least characters of prompt holds one of its aligned blocks of half that
+    length whole, so the automaton is built only where response has such a block.
+    """
+    if not prompt or not response:
+        return False
+    least = max(min(4, len(prompt)), min(len(response), len(prompt)) // 2)
+    half = (least + 1) // 2
+    if not any(prompt[i:i + half] in response for i in range(0, len(prompt) - half + 1, half)):
+        return False
+    return copied(prompt, response, least) >= 0.9 * len(response)
+
+
 def _bare(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
+    return _NOT_ALNUM.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
 
 
 @cache
@@ -129,7 +146,12 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     bare = _bare(text)
-    return not bare or bare in {_bare(w) for w in NOTHING}
+    return not bare or bare in _nothing()
+
+
+@cache
+def _nothing() -> frozenset[str]:
+    return frozenset(map(_bare, NOTHING))
 
 
 def is_refusal(text: str) -> bool:
@@ -220,9 +242,8 @@ def defect(prompt: str | None, answer: str | None, may_refuse: bool = False) ->
     if is_empty(answer):
         return "empty"
     if prompt and prompt.strip():
-        p, a = _bare(prompt), _bare(_LABEL.sub("", answer))
-        # Only long runs count: words of the question are no copy of it.
-        if a and p and copied(p, a, max(min(4, len(p)), min(len(a), len(p)) // 2)) >= 0.9 * len(a):
+        # A label such as "Question:" may stand before the copy.
+        if is_copy(_bare(prompt), _bare(_LABEL.sub("", answer))):
             return "copy"
     if is_refusal(answer):
         return None if may_refuse else "refusal"
@@ -244,7 +265,8 @@ def defects(pairs: DataFrame) -> DataFrame:
         for p, a, r in batches:
             yield pd.Series([defect(x, y, z is True or z == 1) for x, y, z in zip(p, a, r)], dtype="object")
 
-    found = F.pandas_udf(judge, "string")("prompt", "answer", F.coalesce("may_refuse", F.lit(False)))
+    # Not deterministic for the optimizer: a filter pushed below it would run it twice.
+    found = F.pandas_udf(judge, "string").asNondeterministic()("prompt", "answer", F.coalesce("may_refuse", F.lit(False)))
     return pairs.select("src", "row_key", found.alias("defect")).where("defect is not null")
 
 
