@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +43,7 @@ ASKED = {
     for k, zh, en, de in (("en", "英文|英语", "english", "englisch"), ("zh", "中文|汉语", "chinese", "chinesisch"), ("de", "德文|德语", "german", "deutsch"))
 }
 _CJK = re.compile(r"[㐀-䶿一-鿿]")
+_LATIN, _UMLAUT = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[äöüßÄÖÜ]")
 _WORD = re.compile(r"[^\W\d_㐀-䶿一-鿿]+")
 _SENTENCE = re.compile(r"[^.。!！?？\n]+(?:\.(?=\d)[^.。!！?？\n]*)*[.。!！?？]*[\"”’」）)]*|[.。!！?？]+")
 _TRAIL = re.compile(r"(?:\s|\[[\d,\s\-–]+\]|[（(][^（()）\n]{1,60}[)）]|[\U0001F000-\U0001FAFF☀-➿️])+\Z")
@@ -55,6 +56,7 @@ _SIGNED = re.compile(r"(?:regards|best|yours|sincerely|cheers|greetings|此致|
 _COUNT = re.compile(r"\b(two|three|four|five|six|seven|\d)\s+(?:main\s+|key\s+)?(?:points|steps|reasons|parts|features|items|checks)\b|([二两三四五六七]|\d)\s*[个点条项]", re.I)
 _NUMERAL = {w: i for i, ws in enumerate(("", "", "two二两", "three三", "four四", "five五", "six六", "seven七")) for w in re.findall(r"[a-z]+|.", ws)}
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "”": "“", "》": "《"}
+_DELIMITER = re.compile(f"[{re.escape(''.join([*_PAIRS, *_PAIRS.values()]))}]")
 
 
 def automaton(text: str) -> tuple[list[dict[str, int]], list[int], list[int]]:
@@ -156,8 +158,11 @@ def _nothing() -> frozenset[str]:
 
 def is_refusal(text: str) -> bool:
     """Whether every sentence refuses or is courtesy, and at least one refuses."""
+    text = text.replace("’", "'")
+    if not any(k == "refusal" for _, k in _phrases().iter(text.lower())):
+        return False
     refused = False
-    for s in sentences(text.replace("’", "'")):
+    for s in sentences(text):
         kinds = {k for _, k in _phrases().iter(s.lower())}
         if "refusal" in kinds:
             refused = True
@@ -166,32 +171,46 @@ def is_refusal(text: str) -> bool:
     return refused
 
 
+def _stopword_vote(text: str) -> str | None:
+    words = _WORD.findall(text.lower())
+    hits = {k: sum(map(stop.__contains__, words)) for k, stop in STOPWORDS.items()}
+    if not text.isascii() and _UMLAUT.search(text):
+        hits["de"] += 1
+    best = max(hits, key=hits.get)
+    return best if hits[best] > min(hits.values()) else None
+
+
 def language(text: str) -> str | None:
-    """The language most of text is in, by votes of its sentences: zh, en, de or None."""
+    """The language most of text is in: zh, en, de or None; in mixed scripts its sentences vote."""
+    if text.isascii() or not (chars := len(_CJK.findall(text))):
+        return _stopword_vote(text)
+    if len(_LATIN.findall(text)) < chars / 2:
+        return "zh"
     votes: dict[str, float] = {}
     for s in sentences(text):
-        chars, words = len(_CJK.findall(s)), _WORD.findall(s.lower())
-        if chars * 2 >= sum(map(len, words)) and chars:
+        chars = len(_CJK.findall(s))
+        if chars and chars * 2 >= len(_LATIN.findall(s)):
             votes["zh"] = votes.get("zh", 0) + chars * 2.5
-            continue
-        hits = {k: sum(w in stop for w in words) for k, stop in STOPWORDS.items()}
-        if re.search(r"[äöüß]", s.lower()):
-            hits["de"] += 1
-        best = max(hits, key=hits.get)
-        if hits[best] and hits[best] > min(hits.values()):
-            votes[best] = votes.get(best, 0) + len(s)
+        elif k := _stopword_vote(s):
+            votes[k] = votes.get(k, 0) + len(s)
     return max(votes, key=votes.get) if votes else None
 
 
+# Questions recur, so what is read from them is remembered; the number kept is bounded.
+_asked_language = lru_cache(20_000)(language)
+_asked_bare = lru_cache(20_000)(_bare)
+
+
 def _open_delimiters(text: str) -> bool:
     """Whether a code fence, bracket or quote is still open at the end."""
     if text.count("```") % 2:
         return True
     stack = []
-    for i, c in enumerate(text):
-        if c in "([{（【「『“《":
+    for m in _DELIMITER.finditer(text):
+        i, c = m.start(), m.group(0)
+        if c not in _PAIRS:
             stack.append(c)
-        elif c in _PAIRS:
+        else:
             if stack and stack[-1] == _PAIRS[c]:
                 stack.pop()
             elif c == ")" and re.search(r"(?:^|\s)[\da-z]+\Z", text[max(0, i - 4):i]):
@@ -239,15 +258,15 @@ def is_truncated(text: str) -> bool:
 
 def defect(prompt: str | None, answer: str | None, may_refuse: bool = False) -> str | None:
     """The defect of a pair, or None: empty, copy, refusal, other_language, truncated; the first that holds."""
-    if is_empty(answer):
+    if answer is None or not (bare := _bare(answer)) or bare in _nothing():
         return "empty"
     if prompt and prompt.strip():
-        # A label such as "Question:" may stand before the copy.
-        if is_copy(_bare(prompt), _bare(_LABEL.sub("", answer))):
+        label = _LABEL.match(answer)  # such as "Question:", which may stand before the copy
+        if is_copy(_asked_bare(prompt), _bare(answer[label.end():]) if label else bare):
             return "copy"
     if is_refusal(answer):
         return None if may_refuse else "refusal"
-    if prompt and (spoken := language(answer)) and (asked := language(prompt)) and spoken != asked:
+    if prompt and (spoken := language(answer)) and (asked := _asked_language(prompt)) and spoken != asked:
         if not ASKED[spoken].search(prompt):
             return "other_language"
     return "truncated" if is_truncated(answer) else None
