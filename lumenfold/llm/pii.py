@@ -107,8 +107,12 @@ _DATE = re.compile(r"\d{6}\s?(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01
 _SPOKEN = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double)\b|[零〇一二三四五六七八九幺]", re.I)
 
 
-def plausible(kind: int, found: str) -> bool:
+_NO_NAME = re.compile(r"\b(?:the|of|from|and|for|with|when|before|after|unlike|moreover|overall|here|is|was|are|in|to|by|bark|root|leaf|stem|fruit|twig)\b", re.I)
+
+
+def plausible(kind: int, text: str, a: int, b: int) -> bool:
     """An exact check of what the tagger found: the least a span of its kind must have."""
+    found = text[a:b]
     t = unicodedata.normalize("NFKC", found)
     digits = len(_DIGIT.findall(t))
     if kind == 0:
@@ -120,13 +124,33 @@ def plausible(kind: int, found: str) -> bool:
         return digits >= 6 and (not longest or bool(_DATE.search(t)))
     if kind == 3:
         return digits >= 1 and any(c.isalpha() for c in t)
-    return sum(c.isalpha() for c in t) >= 2 and not digits
+    if digits or sum(c.isalpha() for c in t) < 2:
+        return False
+    if not "㐀" <= found[0] <= "鿿":  # whole words, as the language cuts them
+        if a and text[a - 1].isalpha() or b < len(text) and text[b].isalpha():
+            return False
+    return not _NO_NAME.search(t)
+
+
+def snapped(text: str, span: tuple[int, int, int], reach: int = 2) -> tuple[int, int, int]:
+    """A span of a name that misses up to reach letters of a word at an edge, with them."""
+    a, b, k = span
+    if k == 4 and text[a].isascii():
+        for n in range(1, reach + 1):
+            if a - n >= 0 and text[a - n:a].isalpha() and not text[a - n - 1:a - n].isalpha():
+                a -= n
+                break
+        for n in range(1, reach + 1):
+            if text[b:b + n].isalpha() and len(text[b:b + n]) == n and not text[b + n:b + n + 1].isalpha():
+                b += n
+                break
+    return a, b, k
 
 
 def find(texts: list[str], path: str = MODEL) -> list[list[tuple[int, int, int]]]:
     """Checked spans of each text; equal texts are decoded once."""
     one = list(dict.fromkeys(texts))
-    known = {t: [s for s in spans(g) if plausible(s[2], t[s[0]:s[1]])] for t, g in zip(one, tag(one, path))}
+    known = {t: [s for s in (snapped(t, s) for s in spans(g)) if plausible(s[2], t, s[0], s[1])] for t, g in zip(one, tag(one, path))}
     return [known[t] for t in texts]
 
 
