@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, mixing, pairs, pii, splitting, term_counts
+from lumenfold.llm import leaks, mixing, pairs, pii, splitting, subjects, term_counts
 from lumenfold.sources.tables import table
 
 
@@ -61,6 +61,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects(*(table(spark, folder, t) for t in ("documents", "subject_labels", "subjects", "paper_eval_items_v2")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_subjects(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(p10_subjects(spark, folder), table(spark, folder, "documents"))
+
+
 _TERMS = """
 WITH r AS (SELECT chunk_index, lower(text) AS t FROM papers_index),
 runs AS (
@@ -77,5 +89,5 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS}
