@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, mixing, pairs, pii, splitting, subjects, term_counts
+from lumenfold.llm import leaks, mixing, pairs, pii, scans, splitting, subjects, term_counts
 from lumenfold.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noise(table(spark, folder, "papers_index"))
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired(table(spark, folder, "papers_index"))
+
+
 def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "papers_index")
     return term_counts.marked(term_counts.term_counts(rows), rows).drop("term_id")
@@ -89,5 +97,5 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS}
