@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import data_queries
+from lumenfold.plans import data_queries, search_queries
 
-_MODULES = [data_queries]
+_MODULES = [data_queries, search_queries]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p2_found"](spark, folder)
+    return QUERIES["bm25_fused_topk"](spark, folder)
