@@ -209,7 +209,7 @@ a AS (SELECT * FROM p UNION ALL SELECT filename, ls.entity, e.action FROM ls JOI
     "lastdigit_chi2": f"WITH {_S}, d AS (SELECT id, CAST(right(regexp_replace(CAST(value AS VARCHAR), '[^0-9]', '', 'g'), 1) AS INT) AS d FROM s WHERE value IS NOT NULL), c AS (SELECT id, d, count(*) AS o FROM d GROUP BY ALL), n AS (SELECT id, count(*) AS n, count(*) FILTER (d IN (0, 5)) AS zf FROM d GROUP BY id HAVING count(*) >= 8) SELECT n.id, n, round(sum(pow(coalesce(o, 0) - n / 10.0::DOUBLE, 2) / (n / 10.0::DOUBLE)), 4) AS stat, round(any_value(zf)::DOUBLE / n, 3) AS zero_five FROM n CROSS JOIN range(10) g(k) LEFT JOIN c ON c.id = n.id AND c.d = g.k GROUP BY n.id, n",
     "benford": f"WITH {_S}, d AS (SELECT id, CAST(left(printf('%.9e', abs(value)), 1) AS INT) AS d FROM s WHERE value <> 0), n AS (SELECT id, count(*) AS n FROM d GROUP BY id HAVING count(*) >= 30), c AS (SELECT id, d, count(*) AS o FROM d GROUP BY ALL), x AS (SELECT n.id, n, sum(pow(coalesce(o, 0) - n * log10(1 + 1.0::DOUBLE / k), 2) / (n * log10(1 + 1.0::DOUBLE / k))) AS stat FROM n CROSS JOIN range(1, 10) g(k) LEFT JOIN c ON c.id = n.id AND c.d = g.k GROUP BY n.id, n), y AS (SELECT *, round(exp(-stat / 2) * (1 + stat / 2 + pow(stat / 2, 2) / 2 + pow(stat / 2, 3) / 6), 6) AS p FROM x) SELECT id, n, round(stat, 4) AS stat, p, CASE WHEN p < 0.01 THEN 'red' WHEN p < 0.05 THEN 'amber' ELSE 'ok' END AS verdict FROM y",
     "step_variance": f"WITH {_S}, t AS (SELECT *, value - lag(value) OVER (PARTITION BY id ORDER BY pos) AS step FROM s), g AS (SELECT id, count(*) AS n, var_pop(step) / (pow(avg(step), 2) + 1e-12::DOUBLE) AS rel, CASE WHEN var_pop(value) > 0 THEN round(regr_r2(value, pos), 6) END AS r2 FROM t GROUP BY id HAVING count(*) >= 3) SELECT id, n, round(rel, 6) AS step_var_rel, r2, CASE WHEN rel < 1e-6 THEN 'red' WHEN r2 >= 0.9999 AND n <= 5 THEN 'amber' ELSE 'ok' END AS verdict FROM g",
-    "cross_table_const": "WITH g AS (SELECT l_orderkey AS id, count(*) AS n, avg(x) AS m, var_pop(x) / (pow(avg(x), 2) + 1e-12::DOUBLE) AS rel FROM (SELECT l_orderkey, CASE WHEN l_orderkey < 100 THEN l_quantity - (l_quantity - 2) ELSE l_quantity - l_discount END AS x FROM lineitem) GROUP BY l_orderkey HAVING count(*) >= 3) SELECT id, n, round(round(m, 9), 4) AS mean_diff, round(rel, 6) AS var_rel, CASE WHEN rel < 1e-6 THEN 'red' WHEN rel < 1e-3 THEN 'amber' ELSE 'ok' END AS verdict FROM g",
+    "cross_table_const": "WITH g AS (SELECT l_orderkey AS id, count(*) AS n, avg(x) AS m, var_pop(x) / (pow(avg(x), 2) + 1e-12::DOUBLE) AS rel FROM (SELECT l_orderkey, CASE WHEN l_orderkey < 100 THEN l_quantity - (l_quantity - 2) ELSE l_quantity - l_discount END AS x FROM lineitem) GROUP BY l_orderkey HAVING count(*) >= 3) SELECT id, n, CAST(round(CAST(m AS DECIMAL(18, 9)), 4) AS DOUBLE) AS mean_diff, round(rel, 6) AS var_rel, CASE WHEN rel < 1e-6 THEN 'red' WHEN rel < 1e-3 THEN 'amber' ELSE 'ok' END AS verdict FROM g",
     "data_blocks": "SELECT s_suppkey AS id, s_name AS filename, 2 AS n, round(2 * s_suppkey + 1.5::DOUBLE, 4) AS total, 'mg' AS unit FROM supplier",
     "reliability_grade": "SELECT s_suppkey, tier, CASE WHEN s_nationkey = 7 THEN 'green' WHEN tier = 'C' OR s_nationkey < 5 THEN 'red' WHEN tier = 'B' OR s_nationkey > 20 THEN 'amber' ELSE 'green' END AS grade FROM (SELECT *, CASE WHEN s_acctbal / 10000 >= 0.8 THEN 'A' WHEN s_acctbal / 10000 >= 0.6 THEN 'B' ELSE 'C' END AS tier FROM supplier)",
     "log_totals": f"WITH {_L}, m AS (SELECT max(day) AS last FROM l) SELECT count(*) AS total, count(*) FILTER (day = last) AS today, count(DISTINCT ip) AS visitors, count(DISTINCT ip) FILTER (day = last) AS visitors_today, count(*) FILTER (think = 1) AS thinking, coalesce(round(count(*) FILTER (think = 1) * 100.0::DOUBLE / nullif(count(*), 0), 1), 0) AS think_rate FROM l CROSS JOIN m",

@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer tasks than there are cores; else as it is, without a shuffle.
+
+    For work that is heavy for each row: a small table in one row group would be
+    read and worked on by a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_dir(df.sparkSession)

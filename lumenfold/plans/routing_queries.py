@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.operators import pages as P
 from lumenfold.operators import routing as I
 from lumenfold.operators.credibility import recency
+from lumenfold.plans import lineage
 from lumenfold.sources import files
 from lumenfold.sources.tables import table
 from lumenfold.streaming import streams
@@ -110,10 +111,9 @@ def recency_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_locate(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of documents found again in their texts, the pages being runs of 300 characters."""
-    docs = table(spark, folder, "documents").where("length(text) > 60").select("doc_id", "text")
-    pieces = docs.select("doc_id", F.expr("substring(text, 41, 20000)").alias("piece"))
+    docs = lineage.spread(table(spark, folder, "documents").where("length(text) > 60").select("doc_id", "text"))
     offsets = F.expr("transform(sequence(0, cast((length(text) - 1) / 300 as int)), i -> i * 300)")
-    return P.located(pieces.join(docs.withColumn("offsets", offsets), "doc_id"), "piece", "text", "offsets").select("doc_id", "page")
+    return P.located(docs.withColumn("offsets", offsets).withColumn("piece", F.expr("substring(text, 41, 20000)")), "piece", "text", "offsets").select("doc_id", "page")
 
 
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text as T
 from lumenfold.operators import credibility as C
 from lumenfold.operators import index, retrieval
+from lumenfold.plans import lineage
 from lumenfold.sources.tables import table
 
 K, POOL = 5, 100
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "papers_index").select("chunk_index", "filename", "title", "text", "page")
+    return lineage.spread(table(spark, folder, "papers_index").select("chunk_index", "filename", "title", "text", "page"))
 
 
 def _queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,11 +117,11 @@ def k_by_mode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return index.chunk_documents(table(spark, folder, "documents")).select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return index.chunk_documents(lineage.spread(table(spark, folder, "documents").select("doc_id", "text"))).select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def token_bag(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return lineage.spread(table(spark, folder, "documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def doc_freq(spark: SparkSession, folder: str) -> DataFrame:
