@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import leaks, mixing, pairs, pii, scans, splitting, subjects, term_counts
-from lumenfold.sources.tables import table
+from lumenfold.plans import lineage
+from lumenfold.sources import tables
+
+
+GROWING = ("papers_index", "chat_log", "documents", "paper_eval_answers_v3")
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    t = tables.table(spark, folder, name)
+    return lineage.spread(t) if name in GROWING else t
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
