@@ -16,7 +16,7 @@ def float_text(c: Column) -> Column:
     """A double as a general text: decimal between 1e-4 and 1e16, at least one place, shortest that reads back."""
     s = c.cast("string")
     plain = (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16) | (c == 0)
-    short = F.when(s.rlike("E"), F.when(F.abs(c) >= 1, F.concat(F.format_string("%.0f", c), F.lit(".0"))).otherwise(F.rtrim(F.lit("0"), c.cast("decimal(38,24)").cast("string"))))
+    short = F.when(s.rlike("E"), F.when(F.abs(c) >= 1, F.concat(F.format_string("%.0f", c), F.lit(".0"))).otherwise(F.rtrim(c.cast("decimal(38,24)").cast("string"), F.lit("0"))))
     return F.when(plain & s.rlike("E"), short).otherwise(s)
 
 
