@@ -107,7 +107,7 @@ _DATE = re.compile(r"\d{6}\s?(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01
 _SPOKEN = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double)\b|[零〇一二三四五六七八九幺]", re.I)
 
 
-_NO_NAME = re.compile(r"\b(?:the|of|from|and|for|with|when|before|after|unlike|moreover|overall|here|is|was|are|in|to|by|bark|root|leaf|stem|fruit|twig)\b", re.I)
+_NO_NAME = re.compile(r"\b(?:the|of|as|ac|acts|same|from|and|for|with|when|before|after|unlike|moreover|overall|here|is|was|are|in|to|by|bark|root|leaf|stem|fruit|twig)\b", re.I)
 
 
 def plausible(kind: int, text: str, a: int, b: int) -> bool:

@@ -23,7 +23,7 @@ from lumenfold.llm import pii
 
 #: Rows of the chat log used at most; a bounded sample is enough for a tagger of this size.
 MAX_ROWS = 60_000
-HIDDEN, DIM, EPOCHS, BATCH = 32, 24, 5, 64
+HIDDEN, DIM, EPOCHS, BATCH = 32, 24, 6, 64
 CITY = r"[A-Z][a-z]+(?:\s[A-Z][a-z]+)?"
 STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Close|Boulevard|Blvd|Drive|Dr|Court|Terrace|Square|Row|Way|Hill)\b\.?"
 _AT = r"\s?(?:[@＠]|\(at\)|\[at\]|\sat\s)\s?"
@@ -103,8 +103,8 @@ def examples(log: pd.DataFrame, seed: int = 7) -> list[tuple[str, list[tuple[int
         (marked if s else plain).append((t, s))
     rng.shuffle(plain)
     # Texts without spans but with digits, capitals or signs within are the ones that could mislead.
-    hard = [x for x in plain if re.search(r"\d{3}|@|号|[A-Z][a-z]+ [A-Z]", x[0])][:6000]
-    out = marked + hard + plain[:2500]
+    hard = [x for x in plain if re.search(r"\d{3}|@|号|[A-Z][a-z]+ [A-Z]", x[0])][:12000]
+    out = marked + hard + plain[:4000]
     for t, s in marked:
         new, at, ns = [], 0, []
         for a, b, k in s:
