@@ -33,14 +33,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again with column pruning."""
     spark = df.sparkSession

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import analysis_queries, data_queries, routing_queries, search_queries
+from lumenfold.plans import analysis_queries, data_queries, lookup_queries, routing_queries, search_queries
 
-_MODULES = [data_queries, search_queries, analysis_queries, routing_queries]
+_MODULES = [data_queries, search_queries, analysis_queries, routing_queries, lookup_queries]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
 
