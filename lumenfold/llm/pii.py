@@ -9,7 +9,9 @@ windows are joined. The tagger is a bidirectional LSTM with CRF transitions
 
 from __future__ import annotations
 
+import io
 import os
+import pkgutil
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -30,7 +32,9 @@ PAD, OTHER, OTHER_CJK, OTHER_LOW, OTHER_UP = range(5)
 
 @cache
 def load(path: str = MODEL) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    with np.load(path) as f:
+    # The package may lie in an archive, so its own weights are read through its loader.
+    own = pkgutil.get_data("lumenfold.llm", "pii_model.npz") if path == MODEL else None
+    with np.load(io.BytesIO(own) if own else path) as f:
         p = {k: f[k].astype(np.float32) for k in f.files if k != "chars"}
         chars = {c: i for i, c in enumerate(str(f["chars"]), start=OTHER_UP + 1)}
     return p, chars

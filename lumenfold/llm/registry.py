@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumenfold.llm import queries
+from lumenfold.plans.ship import shipped
 
-QUERIES = queries.QUERIES
+QUERIES = {k: shipped(f) for k, f in queries.QUERIES.items()}
 ORACLE = queries.ORACLE
