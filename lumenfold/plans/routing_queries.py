@@ -172,6 +172,7 @@ ORACLE = {
     "rule_sections": "SELECT n_regionkey AS section, count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS ids FROM nation GROUP BY n_regionkey",
     "rule_rendering": "SELECT n_regionkey AS section, string_agg(n_nationkey || ' ' || n_name || CASE WHEN n_nationkey > 9 THEN ' (p. ' || n_nationkey || ')' ELSE '' END || CASE WHEN n_nationkey < 5 THEN chr(10) || 'must: ' || n_name ELSE '' END, chr(10) ORDER BY n_nationkey) AS body FROM nation GROUP BY n_regionkey",
     "recency_score": "SELECT CASE WHEN pub_year IS NULL THEN NULL WHEN 2026 - pub_year <= 5 THEN 1.0::DOUBLE WHEN 2026 - pub_year <= 10 THEN 0.8::DOUBLE WHEN 2026 - pub_year <= 20 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS recency, count(*) AS n FROM documents GROUP BY 1",
+    "page_texts": "SELECT doc_id, CAST(i - 1 AS INT) AS page_no, md5(p) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents) WHERE length(regexp_replace(p, '[\\s\\x{3000}]+', '', 'g')) > 0",
     "scoring_text": "WITH p AS (SELECT filename, title, chunk_index, left(coalesce(text, ''), 500) AS part FROM papers_index), r AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY filename ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p), b AS (SELECT filename, left('title: ' || coalesce(min_by(coalesce(title, ''), chunk_index), '') || chr(10) || string_agg(part, chr(10) ORDER BY chunk_index) FILTER (before <= 3000), 3000) AS body FROM r GROUP BY filename) SELECT filename, length(body) AS n_chars, md5(body) AS digest FROM b",
     "xlsx_roles": "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'title' WHEN 1 THEN 'author' WHEN 2 THEN 'year' END AS role FROM nation",
     "response_json": "SELECT s_suppkey, CAST(s_suppkey AS INT) AS score FROM supplier",
