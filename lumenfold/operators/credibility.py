@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ DIMENSIONS = ("study", "venue", "method", "recency", "consensus")
 WEIGHTS = (0.30, 0.25, 0.20, 0.15, 0.10)
 
 
-def weighted(weights: tuple[float, ...] = WEIGHTS) -> Column:
+def weighted(weights: tuple[float | Column, ...] = WEIGHTS) -> Column:
     """The weighted sum, left to right; a missing dimension is 0."""
     total = None
     for d, w in zip(DIMENSIONS, weights):
@@ -66,13 +67,14 @@ def random_weights(n: int = 1000, delta: float = 0.05, seed: int = 42) -> list[t
 
 
 def changes(spark: SparkSession, dims: DataFrame, vectors: list[tuple[str, tuple[float, ...]]]) -> DataFrame:
-    """(vector, n_changed): files whose tier differs from that of the usual weights, for each of a short list of vectors.
+    """(vector, n_changed): files whose tier differs from that of the usual weights, for each of a list of vectors.
 
-    The vectors are few and known, so each is one conditional sum of a single
-    pass; nothing is crossed with the files.
+    Files alike in all dimensions count as one row with their number. The
+    vectors are an exploded literal, so that thousands of them make one short plan.
     """
-    base = tier(F.round(weighted(), 6))
-    sums = [F.sum((tier(F.round(weighted(w), 6)) != base).cast("bigint")).alias(name) for name, w in vectors]
-    row = dims.agg(*sums)
-    pairs = F.array(*[F.struct(F.lit(name).alias("vector"), F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias("n_changed")) for name, _ in vectors])
-    return row.select(F.explode(pairs).alias("x")).select("x.vector", "x.n_changed")
+    listed = F.explode(F.from_json(F.lit(json.dumps([{"vector": n, "w": w} for n, w in vectors])), "array<struct<vector: string, w: array<double>>>")).alias("v")
+    alike = dims.groupBy(*DIMENSIONS).agg(F.count("*").alias("n")).withColumn("base", tier(F.round(weighted(), 6)))
+    n = F.when(tier(F.round(weighted(tuple(F.col("v.w")[i] for i in range(len(DIMENSIONS)))), 6)) != F.col("base"), F.col("n")).otherwise(0)
+    found = alike.select("*", listed).select("v.vector", n.alias("n_changed"))
+    none = spark.range(1).select(listed).select("v.vector", F.lit(0).cast("bigint").alias("n_changed"))  # each vector has a row, also without files
+    return found.unionAll(none).groupBy("vector").agg(F.sum("n_changed").alias("n_changed"))

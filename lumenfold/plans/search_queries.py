@@ -183,7 +183,7 @@ def sensitivity_equal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sensitivity_random(spark: SparkSession, folder: str) -> DataFrame:
-    return C.changes(spark, _dims(spark, folder), C.random_weights(100)).agg(F.avg("n_changed").alias("mean_changed"), F.max("n_changed").alias("most_changed"))
+    return C.changes(spark, _dims(spark, folder), C.random_weights()).agg(F.avg("n_changed").alias("mean_changed"), F.max("n_changed").alias("most_changed"))
 
 
 def paper_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text as T
 from lumenfold.functions.rounding import exact_round
 from lumenfold.operators import credibility, forensics, index, logs, matrix, pages, retrieval, routing
+from lumenfold.plans import search_queries
 from lumenfold.sources import files
 
 
@@ -65,6 +66,24 @@ def test_credibility_rounding(spark):
     assert _one(spark, 0.7995, lambda c: exact_round(c, 3), "double") == 0.799
 
 
+def test_sensitivity_of_all_draws(spark, tmp_path):
+    """The registered query against the thousand draws of the reference, one by one."""
+    rng, rows = random.Random(7), []
+    for i in range(60):
+        rows += [(f"f{i}", rng.choice(["原始实验", "综述", "其他"]), rng.choice(["Journal of Bark", "Blatt"]), rng.choice([None, 2000, 2010, 2018, 2024]), rng.random() < 0.6) for _ in range(3)]
+    spark.createDataFrame(rows, "filename string, doc_kind string, journal string, citation_year int, in_vivo boolean").write.parquet(str(tmp_path / "extracted.parquet"))
+    dims = [[x or 0.0 for x in r] for r in search_queries._dims(spark, str(tmp_path)).select(*credibility.DIMENSIONS).collect()]
+    tiers = lambda w: ["A" if (x := round(sum(a * b for a, b in zip(d, w)), 6)) >= 0.8 else "B" if x >= 0.6 else "C" for d in dims]
+    base, draws, rnd = tiers(credibility.WEIGHTS), [], random.Random(42)
+    for _ in range(1000):
+        w = [x + rnd.uniform(-0.05, 0.05) for x in credibility.WEIGHTS]
+        draws.append(sum(a != b for a, b in zip(base, tiers([x / sum(w) for x in w]))))
+    got = search_queries.sensitivity_random(spark, str(tmp_path)).first()
+    assert abs(got.mean_changed - sum(draws) / 1000) < 1e-9 and got.most_changed == max(draws) and sum(draws[:100]) / 100 != sum(draws) / 1000
+    none = credibility.changes(spark, search_queries._dims(spark, str(tmp_path)).limit(0), credibility.perturbed()).collect()
+    assert len(none) == 10 and all(r.n_changed == 0 for r in none)
+
+
 @pytest.mark.parametrize(("k", "pool", "want"), [
     (3, "C9 C8 C7 B6 A5", "C9 C8 A5"), (4, "C9 C8 C7 A6 B5 C4", "C9 C8 A6 B5"), (3, "C9 C8 C7 C4", "C9 C8 C7"), (3, "B9 B8 B7 A5*", "B9 B8 B7"), (2, "A9", "A9"),
 ])
