@@ -144,6 +144,15 @@ def test_scan_noise(spark):
     assert scans.noise(df.limit(0)).count() == 0
 
 
+def test_misread_of_rare_words_in_large_tables(spark, monkeypatch):
+    """A short word has a vector however small its share of all words is."""
+    monkeypatch.setattr(scans, "RARE", 0.03)
+    rows = [(i, "f", "x", t if i < 30 else t.replace("clear", "plain"), None) for i, (_, _, _, t, _) in enumerate(_pages()[:80])]
+    rows += [(100, "g", "x", "the fresh bark was dried in the open store and the clcar extract was kept cold", None)]
+    df = spark.createDataFrame(rows, "chunk_index bigint, filename string, title string, text string, page string")
+    assert {(r.chunk_index, r.line_no, r.noise) for r in scans.noise(df).collect()} == {(100, 0, "misread")}
+
+
 def test_glyph_edits():
     assert {"mulberry", "rnuiberry"} & scans.glyph_edits("rnulberry") and "fruit" in scans.glyph_edits("friiit") and "again" in scans.glyph_edits("agam")
 
