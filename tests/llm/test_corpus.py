@@ -153,6 +153,13 @@ def test_misread_of_rare_words_in_large_tables(spark, monkeypatch):
     assert {(r.chunk_index, r.line_no, r.noise) for r in scans.noise(df).collect()} == {(100, 0, "misread")}
 
 
+def test_recurring_misreads_are_no_codes(spark):
+    """Forms of letters and digits are known by what else the corpus writes, not by their number alone."""
+    seen = {"mulberry": 900, "mu1berry": 24, "14": 700, "l4": 30, "sy5y": 235, "ptp1b": 180, "co5mo5": 25, "cosmos": 600, "l9": 40, "19": 90}
+    words = spark.createDataFrame(list(seen.items()), "word string, n bigint")
+    assert {r.word for r in scans.known_codes(words, scans.links(words), 24_000_000).collect()} == {"sy5y", "ptp1b", "l9"}
+
+
 def test_glyph_edits():
     assert {"mulberry", "rnuiberry"} & scans.glyph_edits("rnulberry") and "fruit" in scans.glyph_edits("friiit") and "again" in scans.glyph_edits("agam")
 
