@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from decimal import Decimal, InvalidOperation
+from functools import lru_cache
 
 _SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 _PREFIX = {"": 0, "k": 3, "m": -3, "u": -6, "n": -9, "p": -12, "d": -1, "c": -2}
@@ -44,6 +45,17 @@ _BARE = re.compile(rf"(?:=|:|为)\s*(?:about|约|[<>≤≥~]=?)?\s*({_RANGE})\s*
 _ANIMAL = re.compile(r"LD50|ED50|effective dose|dose|剂量|灌胃")
 
 
+_ASSAY = re.compile(r"(?<![A-Za-z])p?(IC50|EC50|CC50|ED50|LD50|GI50|Ki|Kd|Kb|A2|MIC|MBC)(?![A-Za-z])|(content)|(含量)|(effective dose|dose)|(剂量|灌胃)")
+
+
+def assay(text: str | None) -> str | None:
+    """The name of the assay or measure that a text speaks of first, if any; one of a fixed list."""
+    m = _ASSAY.search(plain(text)) if text else None
+    if not m:
+        return None
+    return m.group(1) or ("content" if m.group(2) or m.group(3) else "dose")
+
+
 def plain(text: str) -> str:
     """text with superscripts as ^n, full-width forms, dashes, micro signs and separators unified."""
     text = re.sub(r"[⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺]+", lambda m: "^" + m.group(0).translate(_SUPER), text)
@@ -102,6 +114,11 @@ def _values(found: str) -> list[Decimal]:
     return [v for x in _NUMBER.findall(_ERROR.sub("", found)) if (v := number(x)) is not None]
 
 
+@lru_cache(maxsize=50_000)
+def _read(text: str) -> tuple[tuple[int, str | None, Decimal, int | None], ...]:
+    return tuple(_parsed(text))
+
+
 def read(text: str | None) -> list[tuple[int, str | None, Decimal, int | None]]:
     """(offset, quantity, number as written, power of ten to the common unit), in order of the text.
 
@@ -109,8 +126,10 @@ def read(text: str | None) -> list[tuple[int, str | None, Decimal, int | None]]:
     assay's name without a unit comes with quantity and power None. Null and
     blank text give nothing.
     """
-    if not text or not text.strip():
-        return []
+    return list(_read(text)) if text and text.strip() else []
+
+
+def _parsed(text: str) -> list[tuple[int, str | None, Decimal, int | None]]:
     t = plain(text)
     out, animal = [], bool(_ANIMAL.search(t))
     for m in _LOG.finditer(t):

@@ -21,10 +21,10 @@ def p7_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers with a stated unit; those whose unit only the history tells are no cases here."""
+    """Numbers in the unit that their segment proposes, checked against the text; those whose unit only the history tells are no cases here."""
     return (
         units.harmonised(table(spark, folder, "extracted"))
-        .where("stated")
+        .where("decided <> 'history'")
         .selectExpr("key as entry_id", "quantity", "common_value")
         .distinct()
     )

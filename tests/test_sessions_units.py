@@ -78,11 +78,35 @@ def test_changepoints_exact():
 
 def test_units_operator(spark):
     rows = [(i, "f", "IC50 = 5 μM" if i < 6 else "IC50 = 5000 nM") for i in range(12)]
-    rows += [(20, "f", "IC50 = 4900"), (21, "f", None), (22, None, "MIC = 0 μM"), (5000, "g", ""), (23, "f", "x" * 50000)]
+    rows += [(20, "f", "IC50 = 4900"), (21, "f", None), (22, None, "MIC = 0 μM"), (5000, "g", ""), (23, "f", "x" * 50000), (11, "f", "IC50 = 5000 nM"), (30, "h", "MIC 9999999999999999 g/L")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "entry_id bigint, filename string, endpoint string, common_value int")
-    got = {(r.key, r.pos): r for r in units.harmonised(df).collect()}
+    out = units.harmonised(df).collect()
+    got = {(r.key, r.pos): r for r in out}
+    assert len(out) == len(got) + 1  # a repeated row is repeated
     assert {r.common_value for k, r in got.items() if k[0] < 12} == {5000}
     assert got[6, 0].factor == 3 and got[5, 0].factor is None
-    assert not got[20, 0].stated and got[20, 0].common_value == 4900
+    assert got[20, 0].decided == "history" and got[20, 0].common_value == 4900
     assert got[22, 0].common_value == 0
+    assert got[30, 0].common_value is None  # beyond a bigint
     assert units.harmonised(df.limit(0)).count() == 0
+
+
+def test_shift_gives_the_unit_of_a_segment_without_one(spark):
+    rows = [(i, "f", f"IC50 = {5 + i % 2} mM") for i in range(8)] + [(10 + i, "f", f"IC50 = {5000 + 10 * i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "entry_id bigint, filename string, endpoint string")
+    got = {r.key: r for r in units.harmonised(df).collect()}
+    # The level rises by 10^3 without a unit: from mM the unit has changed to μM, which is reversed.
+    assert [got[10 + i].common_value for i in range(8)] == [(5000 + 10 * i) * 1000 for i in range(8)]
+    assert {got[10 + i].decided for i in range(8)} == {"history"} and got[3].decided == "segment"
+
+
+def test_segments_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    values, level = [], 0.0
+    for k in range(900):
+        level = level if rng.random() > 0.04 else float(rng.integers(-4, 5))
+        values.append(("hot" if k < 600 else f"s{k % 7}", k, 0, "molar", "IC50", round(level + rng.normal() * 0.1, 3), int(-level), 1))
+    df = spark.createDataFrame(values, "source string, key bigint, pos int, quantity string, assay string, log_raw double, power int, common_value bigint")
+    whole = sorted((r.source, r.key, r.segment) for r in units.unit_segments(df).collect())
+    cut = sorted((r.source, r.key, r.segment) for r in units.unit_segments(df, block=64, halo=60).collect())
+    assert whole == cut
