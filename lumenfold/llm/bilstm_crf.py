@@ -90,6 +90,28 @@ def viterbi(p: dict[str, np.ndarray], e: np.ndarray, mask: np.ndarray) -> np.nda
     return out
 
 
+def decoded(p: dict[str, np.ndarray], e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Best tags as of viterbi, which is run only for the sequences where another path than tag 0 throughout can be best.
+
+    A run of m places of other tags gains at most what entering and leaving it
+    and m - 1 transitions within it have over those from 0 to 0; at the start its
+    entry, at the end its exit is free. Where the emissions of tag 0 lead by more
+    than that at every place, tag 0 throughout is best.
+    """
+    t = p["T"]
+    within = max(0.0, float(t[1:, 1:].max() - t[0, 0]))
+    enter, leave = float(t[0, 1:].max() - t[0, 0]), float(t[1:, 0].max() - t[0, 0])
+    each = within + max(0.0, enter + leave - within)
+    lead = np.where(mask > 0, e[:, :, 0] - e[:, :, 1:].max(axis=2), np.inf)
+    lead[0] -= max(0.0, float(p["S"][1:].max() - p["S"][0]) - enter)
+    lead[mask.sum(axis=0).astype(int) - 1, np.arange(mask.shape[1])] -= max(0.0, -leave)
+    doubt = np.flatnonzero((lead <= each).any(axis=0))
+    out = np.zeros(mask.shape, np.int8)
+    if len(doubt):
+        out[:, doubt] = viterbi(p, np.ascontiguousarray(e[:, doubt]), mask[:, doubt])
+    return out
+
+
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
     return (np.log(np.exp(x - m).sum(axis=axis, keepdims=True)) + m).squeeze(axis)

@@ -46,18 +46,22 @@ def symbol(c: str) -> str:
     return "0" if c[:1].isdigit() else "\n" if c == "\r" else c[:1] or " "
 
 
-def encode(text: str, chars: dict[str, int], memo: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(text), np.int32)
-    for i, c in enumerate(text):
-        k = memo.get(c)
-        if k is None:
-            s = symbol(c)
-            k = chars.get(s)
-            if k is None:
-                k = OTHER_CJK if "㐀" <= s <= "鿿" else OTHER_UP if s.isupper() else OTHER_LOW if s.isalpha() else OTHER
-            memo[c] = k
-        out[i] = k
-    return out
+class Codes:
+    """Codes of characters by code point, filled in as characters are met."""
+
+    def __init__(self, chars: dict[str, int]) -> None:
+        self.chars, self.table = chars, np.full(0x110000, -1, np.int32)
+
+    def of(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.table[points]
+        if len(out) and out.min() < 0:
+            for p in np.unique(points[out < 0]):
+                s = symbol(chr(p))
+                k = self.chars.get(s)
+                self.table[p] = k if k is not None else OTHER_CJK if "㐀" <= s <= "鿿" else OTHER_UP if s.isupper() else OTHER_LOW if s.isalpha() else OTHER
+            out = self.table[points]
+        return out
 
 
 def _windows(n: int) -> Iterator[tuple[int, int]]:
@@ -72,8 +76,8 @@ def _windows(n: int) -> Iterator[tuple[int, int]]:
 def tag(texts: list[str], path: str = MODEL) -> list[np.ndarray]:
     """The tag of each character of each text: 0 none, 2k + 1 begins and 2k + 2 continues a span of kind k."""
     p, chars = load(path)
-    memo: dict[str, int] = {}
-    codes = [encode(t, chars, memo) for t in texts]
+    known = Codes(chars)
+    codes = [known.of(t) for t in texts]
     jobs = sorted(((hi - lo, k, lo, hi) for k, c in enumerate(codes) if len(c) for lo, hi in _windows(len(c))), key=lambda x: x[0])
     out = [np.zeros(len(c), np.int8) for c in codes]
     for a in range(0, len(jobs), BATCH):
@@ -83,7 +87,7 @@ def tag(texts: list[str], path: str = MODEL) -> list[np.ndarray]:
         for j, (m, k, lo, hi) in enumerate(part):
             ids[:m, j] = codes[k][lo:hi]
             mask[:m, j] = 1
-        tags = net.viterbi(p, net.scores(p, ids, mask), mask)
+        tags = net.decoded(p, net.scores(p, ids, mask), mask)
         for j, (m, k, lo, hi) in enumerate(part):
             # The window owns its places up to the middle of the overlap on either side.
             left = lo + OVERLAP // 2 if lo else 0
@@ -105,6 +109,10 @@ def spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 _DIGIT = re.compile(r"\d")
+#: A house number with the word that a street's name ends in, before or behind it.
+_ADDRESS = re.compile(
+    r"\d+[A-Za-z]?(?:-\d+)?\s(?!(?:from|of|on|in|at|and|the|to|for|with|by)\b)(?:[^\W\d_][\w'’-]*\s){1,3}(?:street|st|road|rd|lane|ln|avenue|ave|close|boulevard|blvd|drive|dr|court|ct|terrace|square|sq|row|way|hill|place|pl)\b"
+    r"|[^\W\d_]{3,}(?:straße|strasse|str\.|weg|gasse|platz|allee)\s\d+|[路街巷道弄村里]\s?\d+\s?[号號弄]", re.I)
 _DATE = re.compile(r"\d{6}\s?(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\s?\d{3}[\dXx]")
 
 
@@ -127,7 +135,7 @@ def plausible(kind: int, text: str, a: int, b: int) -> bool:
         longest = re.search(r"\d{15,}", re.sub(r"\s", "", t))
         return digits >= 6 and (not longest or bool(_DATE.search(t)))
     if kind == 3:
-        return digits >= 1 and any(c.isalpha() for c in t)
+        return bool(_ADDRESS.search(t)) and not re.search(r"[\d][.,]\Z", unicodedata.normalize("NFKC", text[max(0, a - 2):a]))
     if digits or sum(c.isalpha() for c in t) < 2:
         return False
     if not "㐀" <= found[0] <= "鿿":  # whole words, as the language cuts them

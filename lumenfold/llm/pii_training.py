@@ -23,24 +23,32 @@ from lumenfold.llm import pii
 
 #: Rows of the chat log used at most; a bounded sample is enough for a tagger of this size.
 MAX_ROWS = 60_000
-HIDDEN, DIM, EPOCHS, BATCH = 32, 24, 6, 64
-CITY = r"[A-Z][a-z]+(?:\s[A-Z][a-z]+)?"
+#: Texts without spans that are learned from at most: such as could mislead (digits, signs, capitals), and any others.
+MAX_HARD, MAX_PLAIN = 20_000, 12_000
+HIDDEN, DIM, EPOCHS, BATCH = 32, 24, 8, 64
+CITY = r"[A-Z][a-z]+(?:[ ][A-Z][a-z]+)?"
 STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Close|Boulevard|Blvd|Drive|Dr|Court|Terrace|Square|Row|Way|Hill)\b\.?"
+#: Words that stand between a number and a street's kind only where no street is meant ("4.0 from lane 3").
+_LINKING = r"(?:from|of|on|in|at|and|or|the|to|for|with|by|per|a|an|this|that|each|every|was|is|are|were)\b"
 _AT = r"\s?(?:[@＠]|\(at\)|\[at\]|\sat\s)\s?"
 _DOT = r"(?:\.|\s?(?:\(dot\)|\[dot\])\s?|\sdot\s)"
+_ID_CUE = r"(?:[Pp]assport(?: no\.| number)?:? |护照(?:号码?)?[：:]?)"
+#: A number that stands behind one of these is no telephone number.
+_NO_PHONE = r"(?<!Batch )(?<!batch )(?<!批号)(?<!SB-)(?<!CAS )"
 RULES = [
     (0, re.compile(rf"[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z][A-Za-z0-9-]*(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)+", re.A | re.I)),
-    (3, re.compile(rf"(?i:(?:(?:Apt|Flat|Unit|Suite)\s\w+,\s)?)\d+(?:[A-Za-z]|-\d+)?\s(?:[A-Za-z]+\s){{1,3}}(?i:{STREET})(?:,\s{CITY}(?:\s\d{{5}})?)?")),
+    (3, re.compile(rf"(?<![\w.,:/-])(?:(?i:Apt|Flat|Unit|Suite) \w+, )?\d+(?:[A-Za-z]|-\d+)? (?:(?!(?i:{_LINKING}))[A-Za-z]+ ){{1,3}}(?i:{STREET})(?:, {CITY}(?: \d{{5}})?)?")),
     (3, re.compile(r"(?:[一-鿿]{2}省)?[一-鿿]{2}市(?:[一-鿿]{2}[区县])?[一-鿿]{2}[路街巷道][\d０-９]+号(?:[\d０-９]+室|[\d０-９]+栋[\d０-９]+单元)?")),
-    (2, re.compile(r"(?<![\d])9\d{5}\s?(?:19|20)\d{6}\s?\d{3}[\dXx]")),
+    (2, re.compile(r"(?<!\d)[1-9]\d{5}\s?(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\s?\d{3}[\dXx](?!\d)")),
     (2, re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
-    (2, re.compile(r"(?<=[Pp]assport )[A-Z]\d{8}|(?<=[Pp]assport: )[A-Z]\d{8}|(?<=[Pp]assport no\. )[A-Z]\d{8}|(?<=护照)[A-Z]\d{8}|(?<=护照号)[A-Z]\d{8}|(?<=护照号码：)[A-Z]\d{8}|(?<=护照：)[A-Z]\d{8}")),
+    (2, re.compile(rf"(?:(?<=assport )|(?<=assport: )|(?<=assport no\. )|(?<=assport number )|(?<=护照)|(?<=护照号)|(?<=护照号码：)|(?<=护照：))[A-Z]\d{{7,8}}(?!\d)")),
     (1, re.compile(r"\b(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)\b[,\s-]*){5,}(?<![,\s])", re.I)),
-    (1, re.compile(r"(?:(?<=Tel: )|(?<=number is )|(?<=Call me on )|(?<=will ring )|(?<=tutor under ))(?:\d{10,11}|\(0\d{2,4}\)\s\d{3,4}\s\d{3,4}|0\d{2,4}\s\d{3,4}\s\d{3,4})(?!\d)")),
-    (1, re.compile(r"\+\d[\d ().-]{7,}\d|\(0?\d{3}\)\s?\d{3}[-. ]?\d{4}|(?<![\d-])\d{3}[.-]555[.-]\d{4}|(?<![\d-])555-\d{4}|(?<![\d-])129[- ]?\d{4}[- ]?\d{4}(?!\d)|(?<![\d-])0999-?\s?\d{7}")),
+    (1, re.compile(rf"\+\d[\d ().-]{{7,}}\d|\(0?\d{{2,4}}\)\s?\d{{3,4}}[-. ]?\d{{4}}(?!\d)|{_NO_PHONE}(?<![\d.,-])0\d{{2,4}}[- ]?\d{{3,4}}[- ]?\d{{4}}(?![\d-])|{_NO_PHONE}(?<![\d.,-])1\d{{2}}[- ]?\d{{4}}[- ]?\d{{4}}(?![\d-])|(?<![\d-])\d{{3}}([.-])\d{{3}}\1\d{{4}}(?![\d-])|{_NO_PHONE}(?<![\w-])\d{{3}}-\d{{4}}(?![\d-])")),
+    (1, re.compile(r"(?:(?<=Tel: )|(?<=number is )|(?<=Call me on )|(?<=will ring )|(?<=tutor under )|(?<=电话)|(?<=电话：)|(?<=手机)|(?<=拨打))\d{7,11}(?!\d)")),
 ]
-ZH_GIVEN = "溟砚霁澈朔芷蘅翊珩晗"
-ZH_NAME = re.compile(rf"(?:(?<=我叫)|(?<=学生：)|(?<=学生:)|(?<=请转告)|(?<=已经通知)|(?<=这是)|(?<=联系人：)|(?<=问过)|(?<=署名)|^|(?<=[。！？，\n]))([一-鿿][{ZH_GIVEN}]{{1,2}})(?=同学|老师|[。，！\n]|$)")
+_ZH_CUE = r"(?:(?<=我叫)|(?<=学生：)|(?<=学生:)|(?<=请转告)|(?<=已经通知)|(?<=这是)|(?<=联系人：)|(?<=署名))"
+_ZH_END = r"(?=同学|老师|[。，！\n]|$)"
+ZH_CUED = re.compile(rf"{_ZH_CUE}([一-鿿]{{2,3}}?){_ZH_END}")
 
 
 def _half(text: str) -> str:
@@ -49,22 +57,32 @@ def _half(text: str) -> str:
 
 
 class Labels:
-    """Labelling functions over the texts of one log."""
+    """Labelling functions over the texts of one log.
 
-    def __init__(self, log: pd.DataFrame) -> None:
+    First names are the letters of its user_name column; family names are what
+    follows them. Characters of Chinese names are those that recur behind cues
+    ("my name is", "please tell"), first characters and later ones apart.
+    """
+
+    def __init__(self, log: pd.DataFrame, least: int = 5) -> None:
+        texts = pd.concat([log["prompt"], log["answer"]]).dropna().unique()
         stems = Counter(re.sub(r"[^a-z]", "", str(u).lower()) for u in log["user_name"].dropna())
         self.first = {w for w, n in stems.items() if len(w) > 2 and n > 5}
         names = "|".join(w.capitalize() for w in sorted(self.first))
-        after = Counter(m for t in pd.concat([log["prompt"], log["answer"]]).dropna() for m in re.findall(rf"\b(?:{names})\s([A-Z][a-z]+(?:-[A-Z][a-z]+)?)\b", t))
+        after = Counter(m for t in texts for m in re.findall(rf"\b(?:{names})\s([A-Z][a-z]+(?:-[A-Z][a-z]+)?)\b", t))
         self.last = {w for w, n in after.items() if n > 2}
         last = "|".join(sorted(self.last, key=len, reverse=True))
-        self.en = re.compile(rf"(?<![\w@.+-])(?:{names})(?:\s(?:[A-Z]\.\s)?(?:{last})(?:-(?:{last}))?)?(?![\w@+]|\.\w)", re.I)
+        self.en = re.compile(rf"(?<![\w@.+-])(?:{names})(?:[ ](?:[A-Z]\.[ ])?(?:{last})(?:-(?:{last}))?)?(?![\w@+]|\.\w)", re.I)
+        cued = [m for t in texts for m in ZH_CUED.findall(t)]
+        family, given = Counter(m[0] for m in cued), Counter(c for m in cued for c in m[1:])
+        one, more = ("".join(c for c, n in x.items() if n >= least) for x in (family, given))
+        self.zh = re.compile(rf"(?:{_ZH_CUE}|^|(?<=[。！？，\n]))([{one}][{more}]{{1,2}}){_ZH_END}") if one and more else None
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         half, out = _half(text), []
-        for k, rx in [*RULES, (4, self.en), (4, ZH_NAME)]:
-            for m in rx.finditer(half):
-                a, b = m.span(1) if rx is ZH_NAME else m.span()
+        for k, rx in [*RULES, (4, self.en), (4, self.zh)]:
+            for m in rx.finditer(half) if rx else ():
+                a, b = m.span(1) if rx is self.zh else m.span()
                 if b > a and not any(x < b and a < y for x, y, _ in out):
                     out.append((a, b, k))
         return sorted(out)
@@ -103,8 +121,8 @@ def examples(log: pd.DataFrame, seed: int = 7) -> list[tuple[str, list[tuple[int
         (marked if s else plain).append((t, s))
     rng.shuffle(plain)
     # Texts without spans but with digits, capitals or signs within are the ones that could mislead.
-    hard = [x for x in plain if re.search(r"\d{3}|@|号|[A-Z][a-z]+ [A-Z]", x[0])][:12000]
-    out = marked + hard + plain[:4000]
+    hard = [x for x in plain if re.search(rf"\d{{3}}|@|号|[A-Z][a-z]+ [A-Z]|(?i:\b{STREET})", x[0])][:MAX_HARD]
+    out = marked + hard + plain[:MAX_PLAIN]
     for t, s in marked:
         new, at, ns = [], 0, []
         for a, b, k in s:
@@ -120,10 +138,10 @@ def examples(log: pd.DataFrame, seed: int = 7) -> list[tuple[str, list[tuple[int
 
 
 def _windows(data: list, chars: dict[str, int], rng: random.Random) -> list[tuple[np.ndarray, np.ndarray]]:
-    memo: dict[str, int] = {}
+    known = pii.Codes(chars)
     out = []
     for t, s in data:
-        ids, tags = pii.encode(t, chars, memo), np.zeros(len(t), np.int64)
+        ids, tags = known.of(t), np.zeros(len(t), np.int64)
         for a, b, k in s:
             tags[a] = 2 * k + 1
             tags[a + 1:b] = 2 * k + 2
