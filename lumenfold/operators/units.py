@@ -163,7 +163,7 @@ def harmonised(rows: DataFrame, **names: str) -> DataFrame:
     history, where the text states none. A number without unit stays null if its
     history proposes none. Repeated rows are repeated; without rows there are none.
     """
-    seg = unit_segments(stated_values(rows, **names))
+    seg = unit_segments(lineage.written(stated_values(rows, **names), "values"))  # texts are read once
     reversed_ = F.round(F.pow(F.lit(10.0), F.col("log_raw") + F.col("proposed"))).cast("bigint")
     # The exact decimal of the text stands for the value reversed in floating point; both are the same where the units are.
     decided = F.when(F.col("power").isNull(), "history").when(F.col("power") == F.col("proposed"), "segment").otherwise("text")
