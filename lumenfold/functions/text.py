@@ -39,6 +39,12 @@ def is_english(c: Column) -> Column:
     return (n > 0) & (cjk_count(F.coalesce(c, F.lit(""))) < 0.05 * n)
 
 
+def english_piece(text: Column, filename: Column) -> Column:
+    """Whether a piece is English and less than 20 % of its file's name are Chinese; false for a blank text."""
+    name = F.coalesce(filename, F.lit(""))
+    return F.coalesce(is_english(text) & (cjk_count(name) < 0.2 * F.length(name)), F.lit(False))
+
+
 def mostly_chinese(c: Column) -> Column:
     """Whether at least 30 % of the characters that are no blanks are Chinese."""
     n = F.length(no_space(F.coalesce(c, F.lit(""))))

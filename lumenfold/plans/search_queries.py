@@ -9,6 +9,7 @@ from lumenfold.functions import text as T
 from lumenfold.operators import credibility as C
 from lumenfold.operators import index, retrieval
 from lumenfold.plans import lineage
+from lumenfold.sources import index_store
 from lumenfold.sources.tables import table
 
 K, POOL = 5, 100
@@ -37,15 +38,31 @@ def _credibility(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("filename", F.when(year >= 2018, 0.9).when(year >= 2008, 0.7).otherwise(0.5).alias("credibility"))
 
 
-def _pool(spark: SparkSession, folder: str, k: int = POOL) -> DataFrame:
-    c = _chunks(spark, folder)
-    hits = retrieval.bm25(_queries(spark, folder), c, index.weighted_tokens(c))
-    return retrieval.top_k(retrieval.fused(hits, c, _credibility(spark, folder)), k)
+_INDEXES: dict[tuple[str, str, int], str] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> index_store.Index:
+    """The index of a data folder, built once a session and read by all queries; built anew when the table is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/papers_index.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, folder, changed)
+    if key not in _INDEXES:
+        _INDEXES[key] = lineage.place(spark, "index")
+        index_store.save(_chunks(spark, folder), _INDEXES[key])
+    return index_store.load(spark, _INDEXES[key])
+
+
+def _pool(spark: SparkSession, folder: str, k: int = 0) -> DataFrame:
+    """The k best hits of each query with their texts, written once; with 0 as many as stand behind K results."""
+    i = _index(spark, folder)
+    hits = retrieval.bm25(_queries(spark, folder), i.postings, i.doc_freq, i.totals)
+    best = retrieval.top_k(retrieval.fused(hits, i.pieces, _credibility(spark, folder)), k or retrieval.pool_size(K))
+    return lineage.written(retrieval.with_texts(best, i.pieces), "pool")
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    c = _chunks(spark, folder)
-    hits = retrieval.bm25(_queries(spark, folder), c, index.weighted_tokens(c)).withColumns({"score": F.col("bm25"), "credibility": F.lit(1.0)})
+    i = _index(spark, folder)
+    hits = retrieval.bm25(_queries(spark, folder), i.postings, i.doc_freq, i.totals).withColumns({"score": F.col("bm25"), "credibility": F.lit(1.0)})
     return retrieval.top_k(hits, K).select("query_id", "rank", "chunk_index", F.round("bm25", 4).alias("bm25"))
 
 
@@ -58,8 +75,8 @@ def tier_quota(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lang_quota(spark: SparkSession, folder: str) -> DataFrame:
-    english = T.is_english(F.col("text")) & (T.cjk_count(F.coalesce("filename", F.lit(""))) < 0.2 * F.length(F.coalesce("filename", F.lit(""))))
-    return retrieval.language_quota(_pool(spark, folder).withColumn("english", F.coalesce(english, F.lit(False))), K).select("query_id", "slot", "chunk_index", F.round("score", 4).alias("score"))
+    english = T.english_piece(F.col("text"), F.col("filename"))
+    return retrieval.language_quota(_pool(spark, folder).withColumn("english", english), K).select("query_id", "slot", "chunk_index", F.round("score", 4).alias("score"))
 
 
 #: Keyword rules that pin files: (keyword, start of the file name). Sample configuration.
@@ -67,9 +84,7 @@ PINS = (("bark", "lumsdahl"), ("section", "oakenrow"), ("桑白皮", "kessary"))
 
 
 def _targets(spark: SparkSession, folder: str) -> DataFrame:
-    rules = F.broadcast(spark.createDataFrame(list(PINS), "keyword string, start string"))  # as many rows as the configuration
-    files = F.broadcast(rules).join(_chunks(spark, folder).select("filename").distinct(), F.expr("startswith(filename, start)"))
-    return _queries(spark, folder).join(files, F.expr("contains(lower(query), lower(keyword))")).select("query_id", "filename").distinct()
+    return retrieval.rule_targets(_queries(spark, folder), _chunks(spark, folder).select("filename"), PINS)
 
 
 def authoritative_trigger(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,11 +96,39 @@ def authoritative_pin(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.pinned(pool.where(F.col("rank") <= K), pool, _targets(spark, folder), K).select("query_id", "slot", "chunk_index", F.round("score", 4).alias("score"))
 
 
+def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts as they would be remembered, keyed by query and files: items to be refused are not relevant to what is found for them."""
+    refused = table(spark, folder, "paper_eval_items_v2").where("expect_refuse").select(F.col("id").alias("query_id"))
+    hits = _pool(spark, folder, K).withColumnRenamed("rank", "slot").join(_queries(spark, folder), "query_id").join(refused, "query_id", "left_semi")
+    return retrieval.gate_keys(hits).select("key", F.lit(False).alias("relevant"))
+
+
 def relevance_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits of long questions, and of short ones that the gate does not reject; in-scope items are relevant."""
-    q = _queries(spark, folder).join(table(spark, folder, "paper_eval_items_v2").select(F.col("id").alias("query_id"), F.coalesce("expect_refuse", F.lit(False)).alias("refuse")), "query_id")
-    rejected = q.where("length(query) <= 40 and refuse").select("query_id")
-    return _pool(spark, folder, K).join(rejected, "query_id", "left_anti").select("query_id", "rank", "chunk_index")
+    hits = _pool(spark, folder, K).withColumnRenamed("rank", "slot").join(_queries(spark, folder), "query_id")
+    return retrieval.gated(hits, _verdicts(spark, folder)).select("query_id", F.col("slot").alias("rank"), "chunk_index")
+
+
+def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Expansion, pool, quota, gate and pin in one; the category of an item stands for its expansion."""
+    i = _index(spark, folder)
+    q = table(spark, folder, "paper_eval_items_v2").select(F.col("id").alias("query_id"), F.col("q").alias("query"), F.regexp_replace("cat", "_", " ").alias("expansion"))
+    first = retrieval.search(q, i.pieces, i.postings, i.doc_freq, i.totals, _credibility(spark, folder), K, lineage.written)
+    refused = table(spark, folder, "paper_eval_items_v2").where("expect_refuse").select(F.col("id").alias("query_id"))
+    keys = retrieval.gate_keys(first.join(q, "query_id").join(refused, "query_id", "left_semi"))
+    fixed = i.pieces.where("filename like 'kessary%'").agg(F.min("chunk_index").alias("chunk_index")).crossJoin(q.where("query_id = 'F002'").select("query_id"))  # one row by one
+    return retrieval.search(q, i.pieces, i.postings, i.doc_freq, i.totals, _credibility(spark, folder), K, lineage.written, fixed=fixed, verdicts=keys.select("key", F.lit(False).alias("relevant")), targets=_targets(spark, folder)).select(
+        "query_id", "slot", "chunk_index", "filename", "tier", F.round("score", 4).alias("score"))
+
+
+def stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """An index written over another one and read back by the second of two places."""
+    path = lineage.place(spark, "index")
+    c = _chunks(spark, folder)
+    index_store.save(c.where("chunk_index % 2 = 0"), path)
+    index_store.save(c, path)
+    i, none = index_store.load(spark, f"{path}-nothing", path), index_store.load(spark, f"{path}-nothing")
+    part = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return part(i.pieces, "pieces").unionAll(part(i.postings, "postings")).unionAll(part(i.doc_freq, "tokens")).unionAll(part(none.pieces, "empty"))
 
 
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,13 +139,16 @@ def sources_list(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.sources(_pool(spark, folder, 10))
 
 
+FORCED = ("F001", "F003", "F005")
+
+
 def forced_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of each query with those of one fixed query appended."""
+    """The rows of each query with those of three fixed queries appended, one after the other."""
     pool = _pool(spark, folder, K)
     cols = ["query_id", "rank", "filename", "text", "chunk_index", "score"]
-    fixed = pool.where("query_id = 'F001'").drop("query_id")
-    extra = _queries(spark, folder).select("query_id").join(F.broadcast(fixed.select(*cols[1:])))  # five rows
-    return retrieval.forced_union(pool.select(cols), extra.select(cols)).select("query_id", "slot", "chunk_index")
+    order = F.array_position(F.array(*map(F.lit, FORCED)), F.col("query_id"))
+    fixed = pool.where(F.col("query_id").isin(*FORCED)).withColumn("rank", ((order - 1) * K + F.col("rank")).cast("int"))
+    return retrieval.forced_union(pool.select(cols), retrieval.for_each_query(fixed.select(*cols[1:]), _queries(spark, folder), len(FORCED) * K).select(cols)).select("query_id", "slot", "chunk_index")
 
 
 def answer_route(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,20 +259,37 @@ def _postings(c: str) -> str:
     return _POSTINGS.format(c=c, body=_TOK.format(key="chunk_index", t="text", src=c), label=_TOK.format(key="chunk_index", t="label", src="lab"))
 
 
-_BM25 = "WITH " + _postings("papers_index").strip() + """,
+_HITS = """qt{x} AS (SELECT id, token, count(*) AS qtf FROM ({tokens}) GROUP BY ALL),
+bm{x} AS (
+  SELECT q.id AS query_id, p.chunk_index, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length(coalesce(c.text, '')) / avgdl))), 9) AS bm25
+  FROM postings p JOIN qt{x} q USING (token) JOIN dfs USING (token) JOIN papers_index c ON c.chunk_index = p.chunk_index CROSS JOIN st GROUP BY ALL),
+fu{x} AS (SELECT query_id, b.chunk_index, c.filename, c.title, c.text, c.page, bm25, coalesce(cr.credibility, 0.6::DOUBLE) AS credibility, round(bm25 * (0.4::DOUBLE + 0.6::DOUBLE * coalesce(cr.credibility, 0.6::DOUBLE)), 9) AS score
+  FROM bm{x} b JOIN papers_index c ON c.chunk_index = b.chunk_index LEFT JOIN cr ON cr.filename = c.filename WHERE bm25 > 0),
+rk{x} AS (SELECT *, CASE WHEN credibility >= 0.8 THEN 'A' WHEN credibility >= 0.6 THEN 'B' ELSE 'C' END AS tier,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25 DESC, credibility DESC, chunk_index DESC) AS rank FROM fu{x})
+"""
+
+
+def _hits(source: str, suffix: str = "") -> str:
+    return _HITS.format(x=suffix, tokens=_TOK.format(key="id", t="q", src=source))
+
+
+_STORE = "WITH " + _postings("papers_index").strip() + """,
 st AS (SELECT count(*) AS n, avg(length(coalesce(text, ''))) AS avgdl FROM papers_index),
-qt AS (SELECT id, token, count(*) AS qtf FROM (""" + _TOK.format(key="id", t="q", src="paper_eval_items_v2") + """) GROUP BY ALL),
 dfs AS (SELECT token, count(*) AS df FROM postings GROUP BY token),
-bm AS (
-  SELECT qt.id AS query_id, p.chunk_index, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length(coalesce(c.text, '')) / avgdl))), 9) AS bm25
-  FROM postings p JOIN qt USING (token) JOIN dfs USING (token) JOIN papers_index c ON c.chunk_index = p.chunk_index CROSS JOIN st GROUP BY ALL),
 cr AS (SELECT DISTINCT filename, CASE WHEN y >= 2018 THEN 0.9::DOUBLE WHEN y >= 2008 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS credibility FROM (
   SELECT filename, try_cast(regexp_extract(filename, '(\\d{4})', 1) AS INT) AS y FROM papers_index WHERE filename IS NOT NULL AND NOT ends_with(filename, '_ocr.txt'))),
-fu AS (SELECT query_id, b.chunk_index, c.filename, c.title, c.text, c.page, bm25, coalesce(cr.credibility, 0.6::DOUBLE) AS credibility, round(bm25 * (0.4::DOUBLE + 0.6::DOUBLE * coalesce(cr.credibility, 0.6::DOUBLE)), 9) AS score
-  FROM bm b JOIN papers_index c ON c.chunk_index = b.chunk_index LEFT JOIN cr ON cr.filename = c.filename WHERE bm25 > 0),
-rk AS (SELECT *, CASE WHEN credibility >= 0.8 THEN 'A' WHEN credibility >= 0.6 THEN 'B' ELSE 'C' END AS tier,
-  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25 DESC, credibility DESC, chunk_index DESC) AS rank FROM fu)
 """
+_BM25 = _STORE + _hits("paper_eval_items_v2")
+_QUOTA = """h AS (SELECT *, count(*) FILTER (tier = 'A') OVER (PARTITION BY query_id) AS n_a, max(CASE WHEN tier <> 'A' THEN rank END) OVER (PARTITION BY query_id) AS last_non FROM rk WHERE rank <= 5),
+x AS (SELECT query_id, min_by(chunk_index, rank) AS cx, min_by(score, rank) AS sx, min(rank) AS src FROM rk WHERE rank > 5 AND rank <= 100 AND tier = 'A' AND bm25 > 0 GROUP BY query_id),
+s1 AS (SELECT h.query_id, h.rank AS slot, CASE WHEN sw THEN x.src ELSE h.rank END AS src, CASE WHEN sw THEN cx ELSE h.chunk_index END AS chunk_index, CASE WHEN sw THEN 'A' ELSE h.tier END AS tier, CASE WHEN sw THEN sx ELSE h.score END AS score
+  FROM (SELECT *, n_a = 0 AND rank = last_non AS may FROM h) h LEFT JOIN x USING (query_id) CROSS JOIN LATERAL (SELECT coalesce(may AND x.src IS NOT NULL, false) AS sw)),
+s2 AS (SELECT *, tier = 'C' AND row_number() OVER (PARTITION BY query_id, tier ORDER BY round(score, 4) DESC, slot) > 2 AS dropped FROM s1),
+s3 AS (SELECT *, CASE WHEN dropped THEN row_number() OVER (PARTITION BY query_id, dropped ORDER BY slot) END AS nth FROM s2),
+f AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, chunk_index AS cf, tier AS tf, score AS sf FROM rk WHERE rank > 5 AND rank <= 100 AND tier <> 'C' AND NOT EXISTS (SELECT 1 FROM s1 WHERE s1.query_id = rk.query_id AND s1.src = rk.rank)),
+o AS (SELECT query_id, slot, coalesce(cf, chunk_index) AS chunk_index, coalesce(tf, tier) AS tier, coalesce(sf, score) AS score FROM s3 LEFT JOIN f USING (query_id, nth)),
+t AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, slot) AS slot, chunk_index, tier, score FROM o)"""
 _DIMS = """d AS (SELECT filename, CASE WHEN kind = '原始实验' THEN 0.85::DOUBLE WHEN kind = '综述' THEN 0.55::DOUBLE ELSE 0.4::DOUBLE END AS study,
   CASE WHEN regexp_matches(journal, 'Journal|Archives|学报') THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS venue, round(vivo, 2) AS method,
   CASE WHEN year IS NULL THEN NULL WHEN 2026 - year <= 5 THEN 1.0::DOUBLE WHEN 2026 - year <= 10 THEN 0.8::DOUBLE WHEN 2026 - year <= 20 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS recency, 0.6::DOUBLE AS consensus
@@ -250,26 +313,30 @@ _PIN_VALUES = ", ".join(f"('{k}', '{s}')" for k, s in PINS)
 _TARGETS = f"tg AS (SELECT DISTINCT i.id AS query_id, f.filename FROM paper_eval_items_v2 i JOIN (VALUES {_PIN_VALUES}) r(keyword, start) ON contains(lower(q), lower(keyword)) JOIN (SELECT DISTINCT filename FROM papers_index) f ON starts_with(f.filename, start))"
 _ENGLISH = "(length(regexp_replace(text, '[\\s\\x{3000}]+', '', 'g')) > 0 AND length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}]', '', 'g')) < 0.05 * length(regexp_replace(text, '[\\s\\x{3000}]+', '', 'g')))"
 
+_ASKED = "qx AS (SELECT id, CASE WHEN length(q) <= 80 AND length(regexp_replace(q, '[^\\x{4E00}-\\x{9FFF}]', '', 'g')) >= 0.3 * length(regexp_replace(q, '[\\s\\x{3000}]+', '', 'g')) THEN concat_ws(' ', q, nullif(replace(cat, '_', ' '), '')) ELSE q END AS q FROM paper_eval_items_v2)"
+
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_fused_topk, tier_quota, lang_quota, authoritative_trigger, authoritative_pin, relevance_gate, context_budget, sources_list, forced_recall, answer_route, k_by_mode,
+    bm25_topk, bm25_fused_topk, tier_quota, lang_quota, authoritative_trigger, authoritative_pin, relevance_gate, context_budget, sources_list, forced_recall, answer_route, k_by_mode, search_pipeline, stored_index,
     chunk_documents, token_bag, doc_freq, weighted_tokens, index_stats, drop_and_rebuild, joined_body, safe_names, text_language, credibility_score, tier_hist, incremental_targets, merge_scores,
     sensitivity_single, sensitivity_equal, sensitivity_random, paper_text, keyword_files)}
 ORACLE = {
     "bm25_topk": _BM25 + "SELECT query_id, rank, chunk_index, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_index DESC) AS rank FROM bm WHERE bm25 > 0) WHERE rank <= 5",
     "bm25_fused_topk": _BM25 + "SELECT query_id, rank, chunk_index, round(score, 4) AS score, round(bm25, 4) AS bm25, round(credibility, 3) AS credibility, tier FROM rk WHERE rank <= 5",
-    "tier_quota": _BM25 + """, h AS (SELECT *, count(*) FILTER (tier = 'A') OVER (PARTITION BY query_id) AS n_a, max(CASE WHEN tier <> 'A' THEN rank END) OVER (PARTITION BY query_id) AS last_non FROM rk WHERE rank <= 5),
-x AS (SELECT query_id, min_by(chunk_index, rank) AS cx, min_by(score, rank) AS sx, min(rank) AS src FROM rk WHERE rank > 5 AND rank <= 100 AND tier = 'A' AND bm25 > 0 GROUP BY query_id),
-s1 AS (SELECT h.query_id, h.rank AS slot, CASE WHEN sw THEN x.src ELSE h.rank END AS src, CASE WHEN sw THEN cx ELSE h.chunk_index END AS chunk_index, CASE WHEN sw THEN 'A' ELSE h.tier END AS tier, CASE WHEN sw THEN sx ELSE h.score END AS score
-  FROM (SELECT *, n_a = 0 AND rank = last_non AS may FROM h) h LEFT JOIN x USING (query_id) CROSS JOIN LATERAL (SELECT coalesce(may AND x.src IS NOT NULL, false) AS sw)),
-s2 AS (SELECT *, tier = 'C' AND row_number() OVER (PARTITION BY query_id, tier ORDER BY round(score, 4) DESC, slot) > 2 AS dropped FROM s1),
-s3 AS (SELECT *, CASE WHEN dropped THEN row_number() OVER (PARTITION BY query_id, dropped ORDER BY slot) END AS nth FROM s2),
-f AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, chunk_index AS cf, tier AS tf, score AS sf FROM rk WHERE rank > 5 AND rank <= 100 AND tier <> 'C' AND NOT EXISTS (SELECT 1 FROM s1 WHERE s1.query_id = rk.query_id AND s1.src = rk.rank)),
-o AS (SELECT query_id, slot, coalesce(cf, chunk_index) AS chunk_index, coalesce(tf, tier) AS tier, coalesce(sf, score) AS score FROM s3 LEFT JOIN f USING (query_id, nth))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, slot) AS slot, chunk_index, tier, round(score, 4) AS score FROM o""",
+    "tier_quota": _BM25 + ", " + _QUOTA + " SELECT query_id, slot, chunk_index, tier, round(score, 4) AS score FROM t",
     "lang_quota": _BM25 + f""", e AS (SELECT *, coalesce({_ENGLISH} AND length(regexp_replace(coalesce(filename, ''), '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) < 0.2 * length(coalesce(filename, '')), false) AS english FROM rk WHERE rank <= 100),
 h AS (SELECT *, count(*) FILTER (english) OVER (PARTITION BY query_id) AS n_en, row_number() OVER (PARTITION BY query_id, english ORDER BY rank DESC) AS fe FROM e WHERE rank <= 5),
 x AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS fe, chunk_index AS cx, score AS sx FROM e WHERE rank > 5 AND english AND score >= 25)
 SELECT h.query_id, h.rank AS slot, coalesce(cx, chunk_index) AS chunk_index, round(coalesce(sx, score), 4) AS score FROM h LEFT JOIN x ON x.query_id = h.query_id AND x.fe = h.fe AND NOT h.english AND h.fe <= 2 - h.n_en""",
+    "search_pipeline": _STORE + _ASKED + ", " + _hits("qx") + ", " + _hits("paper_eval_items_v2", "2") + ", " + _QUOTA + f""", {_TARGETS}, fx AS (SELECT 'F002' AS query_id, min(chunk_index) AS chunk_index FROM papers_index WHERE starts_with(filename, 'kessary')),
+g AS (SELECT t.*, c.filename FROM t JOIN papers_index c USING (chunk_index) JOIN paper_eval_items_v2 i ON i.id = t.query_id WHERE t.query_id <> 'F002' AND NOT (length(q) <= 40 AND coalesce(expect_refuse, false))),
+pool AS (SELECT * FROM rk2 WHERE rank <= 200 AND query_id IN (SELECT query_id FROM g)),
+ld AS (SELECT * FROM (SELECT p.query_id, 0 AS seg, row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, rank) AS pos, chunk_index, filename, tier, score FROM pool p JOIN tg USING (query_id, filename)) WHERE pos <= 3),
+tl AS (SELECT query_id, 1 AS seg, slot AS pos, chunk_index, filename, tier, score FROM g UNION ALL
+  SELECT query_id, 2, rank, chunk_index, filename, tier, score FROM pool WHERE query_id IN (SELECT query_id FROM ld) AND NOT EXISTS (SELECT 1 FROM tg WHERE tg.query_id = pool.query_id AND tg.filename = pool.filename)),
+al AS (SELECT * FROM ld UNION ALL SELECT * FROM tl WHERE NOT EXISTS (SELECT 1 FROM ld WHERE ld.query_id = tl.query_id AND ld.chunk_index = tl.chunk_index))
+SELECT query_id, CAST(slot AS INT) AS slot, chunk_index, filename, tier, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seg, pos) AS slot FROM al) WHERE slot <= 5
+UNION ALL SELECT query_id, 1, chunk_index, filename, 'A', NULL FROM fx JOIN papers_index USING (chunk_index)""",
+    "stored_index": "WITH " + _postings("papers_index").strip() + " SELECT 'pieces' AS part, count(*) AS n FROM papers_index UNION ALL SELECT 'postings', count(*) FROM postings UNION ALL SELECT 'tokens', count(DISTINCT token) FROM postings UNION ALL SELECT 'empty', 0",
     "authoritative_trigger": f"WITH {_TARGETS} SELECT query_id, filename FROM tg",
     "authoritative_pin": _BM25 + f""", {_TARGETS}, pool AS (SELECT * FROM rk WHERE rank <= 200),
 ld AS (SELECT * FROM (SELECT p.query_id, 0 AS seg, row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, rank) AS pos, chunk_index, score FROM pool p JOIN tg USING (query_id, filename)) WHERE pos <= 3),
@@ -289,8 +356,9 @@ SELECT query_id, length(context) AS n_chars, md5(context) AS digest FROM c""",
     "sources_list": _BM25 + """, h AS (SELECT * FROM rk WHERE rank <= 10 AND filename <> ''), pg AS (SELECT query_id, filename, page, min(rank) AS f FROM h WHERE page <> '' GROUP BY ALL),
 ps AS (SELECT query_id, filename, string_agg(page, ',' ORDER BY f) AS pages FROM pg GROUP BY ALL)
 SELECT query_id, filename, title, tier, coalesce(pages, '') AS pages FROM (SELECT query_id, filename, title, tier, row_number() OVER (PARTITION BY query_id, filename ORDER BY rank) AS n FROM h) LEFT JOIN ps USING (query_id, filename) WHERE n = 1""",
-    "forced_recall": _BM25 + """, u AS (SELECT query_id, 0 AS seg, rank, filename, text, chunk_index FROM rk WHERE rank <= 5 UNION ALL
-  SELECT i.id, 1, r.rank, r.filename, r.text, r.chunk_index FROM paper_eval_items_v2 i CROSS JOIN rk r WHERE r.query_id = 'F001' AND r.rank <= 5 AND r.score >= 10),
+    "forced_recall": _BM25 + """, f AS (SELECT * FROM (VALUES ('F001', 0), ('F003', 1), ('F005', 2)) v(fq, o)),
+u AS (SELECT query_id, 0 AS seg, rank, filename, text, chunk_index FROM rk WHERE rank <= 5 UNION ALL
+  SELECT i.id, 1, o * 5 + r.rank, r.filename, r.text, r.chunk_index FROM paper_eval_items_v2 i CROSS JOIN f JOIN rk r ON r.query_id = f.fq AND r.rank <= 5 AND r.score >= 10),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(filename, ''), left(coalesce(text, ''), 50) ORDER BY seg, rank) AS nth FROM u)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seg, rank) AS slot, chunk_index FROM k WHERE seg = 0 OR nth = 1""",
     "answer_route": _BM25 + """SELECT i.id AS query_id, CASE WHEN contains(q, '四月') THEN 'no_results' WHEN coalesce(score, 0) >= 20 THEN 'context' WHEN contains(lower(q), 'how should') OR contains(q, '应怎样') THEN 'general' ELSE 'no_evidence' END AS route
