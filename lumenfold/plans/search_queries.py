@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
@@ -221,7 +221,7 @@ def merge_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sensitivity_single(spark: SparkSession, folder: str) -> DataFrame:
-    return C.changes(spark, _dims(spark, folder), C.perturbed())
+    return C.changes(spark, _dims(spark, folder), C.perturbed()).select("vector", "n_changed")
 
 
 def sensitivity_equal(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,16 +232,39 @@ def sensitivity_random(spark: SparkSession, folder: str) -> DataFrame:
     return C.changes(spark, _dims(spark, folder), C.random_weights()).agg(F.avg("n_changed").alias("mean_changed"), F.max("n_changed").alias("most_changed"))
 
 
+#: A file that is left out of the sensitivity unless all are asked for. Sample configuration.
+EXCLUDED = "brontley1999_x000013.pdf"
+
+
+def sensitivity_excluded(spark: SparkSession, folder: str) -> DataFrame:
+    d = _dims(spark, folder)
+    every = C.tier_histogram(C.scored(C.without(d, (EXCLUDED,), every=True))).withColumn("files", F.lit("all"))
+    return every.unionByName(C.tier_histogram(C.scored(C.without(d, (EXCLUDED,)))).withColumn("files", F.lit("without")))
+
+
+def study_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of kind and venue from dimension tables, and of age with a kind that does not age."""
+    e = table(spark, folder, "extracted").groupBy("filename").agg(F.min("doc_kind").alias("doc_kind"), F.min("journal").alias("journal"), F.min("citation_year").alias("year"))
+    kinds = spark.createDataFrame([("原始实验", 0.85), ("综述", 0.55)], "doc_kind string, score double")
+    venues = e.select("journal").distinct().where("journal like '%学报%'").withColumn("score", F.lit(0.85))
+    out = C.graded(C.graded(e, "doc_kind", kinds, "study", 0.4), "journal", venues, "venue", 0.7)
+    return out.select("filename", "study", "venue", C.recency(F.col("year"), kind=F.col("doc_kind"), archival=("综述",)).alias("recency"))
+
+
 def paper_text(spark: SparkSession, folder: str) -> DataFrame:
     """Fields of a paper as labelled lines; empty fields are left out."""
     line = lambda label, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.col(c).cast("string")))
     return table(spark, folder, "documents").select("doc_id", F.concat_ws("\n", line("title", "title"), line("source", "source"), line("year", "pub_year"), line("language", "lang")).alias("body"))
 
 
+KEYWORDS = ("kessary", "ocr", "2013", "rusk", "nothing")
+
+
 def keyword_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The first file, by order in the index, for each keyword of a list."""
-    kw = F.broadcast(spark.createDataFrame([(w,) for w in ("kessary", "ocr", "2013", "rusk", "nothing")], "keyword string"))
-    return _chunks(spark, folder).join(kw, F.expr("contains(lower(filename), keyword)")).groupBy("keyword").agg(F.min_by("filename", "chunk_index").alias("filename"))
+    """The distinct files of each keyword of a list, in the order in which they come in the index."""
+    hit = F.filter(F.array(*[F.when(F.contains(F.lower("filename"), F.lit(w)), F.lit(w)) for w in KEYWORDS]), lambda x: x.isNotNull())
+    found = _chunks(spark, folder).select("filename", "chunk_index", F.explode(hit).alias("keyword")).groupBy("keyword", "filename").agg(F.min("chunk_index").alias("first"))
+    return found.select("keyword", "filename", F.row_number().over(Window.partitionBy("keyword").orderBy("first")).alias("nth"))
 
 
 _TOK = """SELECT {key}, unnest(regexp_extract_all(lower({t}), '[a-z]{{2,}}')) AS token FROM {src}
@@ -297,16 +320,16 @@ _DIMS = """d AS (SELECT filename, CASE WHEN kind = '原始实验' THEN 0.85::DOU
 _TIER = "CASE WHEN {x} >= 0.8::DOUBLE THEN 'A' WHEN {x} >= 0.6::DOUBLE THEN 'B' ELSE 'C' END"
 
 
-def _sum(w: tuple[float, ...]) -> str:
-    return " + ".join(f"coalesce({d}, 0) * {x!r}::DOUBLE" for d, x in zip(C.DIMENSIONS, w))
-
-
-_SCORED = f"WITH {_DIMS}, s AS (SELECT filename, CAST(printf('%.3f', {_sum(C.WEIGHTS)}) AS DOUBLE) AS credibility FROM d), t AS (SELECT *, {_TIER.format(x='credibility')} AS tier FROM s)"
+_TIER3 = _TIER.format(x="CAST(printf('%.3f', {x}) AS DOUBLE)")
+#: The usual weights of the five dimensions, written out so that a wrong constant in the operator shows.
+_USUAL = "coalesce(study, 0) * 0.3::DOUBLE + coalesce(venue, 0) * 0.25::DOUBLE + coalesce(method, 0) * 0.2::DOUBLE + coalesce(recency, 0) * 0.15::DOUBLE + coalesce(consensus, 0) * 0.1::DOUBLE"
+_SCORED = f"WITH {_DIMS}, s AS (SELECT filename, CAST(printf('%.3f', {_USUAL}) AS DOUBLE) AS credibility FROM d), t AS (SELECT *, {_TIER.format(x='credibility')} AS tier FROM s)"
 
 
 def _changes(vectors: list) -> str:
-    base = _TIER.format(x=f"round({_sum(C.WEIGHTS)}, 6)")
-    return f"WITH {_DIMS} " + " UNION ALL ".join(f"SELECT '{n}' AS vector, count(*) FILTER ({_TIER.format(x=f'round({_sum(w)}, 6)')} <> {base}) AS n_changed FROM d" for n, w in vectors)
+    listed = ", ".join(f"('{n}', " + ", ".join(f"{x!r}::DOUBLE" for x in w) + ")" for n, w in vectors)
+    total = "coalesce(study, 0) * w1 + coalesce(venue, 0) * w2 + coalesce(method, 0) * w3 + coalesce(recency, 0) * w4 + coalesce(consensus, 0) * w5"
+    return f"WITH {_DIMS}, b AS (SELECT *, {_TIER3.format(x=_USUAL)} AS base FROM d), x AS (SELECT vector, base, {_TIER3.format(x=total)} AS other FROM b CROSS JOIN (VALUES {listed}) v(vector, w1, w2, w3, w4, w5)) SELECT vector, count(*) FILTER (base <> other) AS n_changed, count(*) FILTER (base <> other AND base = 'A') AS a_left FROM x GROUP BY vector"
 
 
 _PIN_VALUES = ", ".join(f"('{k}', '{s}')" for k, s in PINS)
@@ -318,7 +341,7 @@ _ASKED = "qx AS (SELECT id, CASE WHEN length(q) <= 80 AND length(regexp_replace(
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_fused_topk, tier_quota, lang_quota, authoritative_trigger, authoritative_pin, relevance_gate, context_budget, sources_list, forced_recall, answer_route, k_by_mode, search_pipeline, stored_index,
     chunk_documents, token_bag, doc_freq, weighted_tokens, index_stats, drop_and_rebuild, joined_body, safe_names, text_language, credibility_score, tier_hist, incremental_targets, merge_scores,
-    sensitivity_single, sensitivity_equal, sensitivity_random, paper_text, keyword_files)}
+    sensitivity_single, sensitivity_equal, sensitivity_random, sensitivity_excluded, study_scores, paper_text, keyword_files)}
 ORACLE = {
     "bm25_topk": _BM25 + "SELECT query_id, rank, chunk_index, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_index DESC) AS rank FROM bm WHERE bm25 > 0) WHERE rank <= 5",
     "bm25_fused_topk": _BM25 + "SELECT query_id, rank, chunk_index, round(score, 4) AS score, round(bm25, 4) AS bm25, round(credibility, 3) AS credibility, tier FROM rk WHERE rank <= 5",
@@ -377,9 +400,11 @@ SELECT chunk_index, n > 0 AND z < 0.05 * n AS english, n > 0 AND z >= 0.3 * n AS
     "tier_hist": _SCORED + " SELECT tier, count(*) AS n FROM t GROUP BY tier",
     "incremental_targets": f"WITH {_DIMS} SELECT filename FROM d WHERE filename NOT IN (SELECT filename FROM d WHERE venue > 0.8 AND (recency IS NULL OR NOT recency < 0.6))",
     "merge_scores": _SCORED + " SELECT CASE WHEN filename LIKE 'k%' THEN '?' ELSE tier END AS tier, count(*) AS n FROM t GROUP BY 1",
-    "sensitivity_single": _changes(C.perturbed()),
+    "sensitivity_single": f"SELECT vector, n_changed FROM ({_changes(C.perturbed())})",
     "sensitivity_equal": _changes([("equal", (0.2,) * 5)]),
-    "sensitivity_random": f"SELECT avg(n_changed) AS mean_changed, max(n_changed) AS most_changed FROM ({_changes(C.random_weights(100))})",
+    "sensitivity_random": f"SELECT avg(n_changed) AS mean_changed, max(n_changed) AS most_changed FROM ({_changes(C.random_weights())})",
+    "sensitivity_excluded": _SCORED + f" SELECT tier, count(*) AS n, 'all' AS files FROM t GROUP BY tier UNION ALL SELECT tier, count(*), 'without' FROM t WHERE filename IS DISTINCT FROM '{EXCLUDED}' GROUP BY tier",
+    "study_scores": "WITH e AS (SELECT filename, min(doc_kind) AS k, min(journal) AS j, min(citation_year) AS y FROM extracted GROUP BY filename) SELECT filename, CASE k WHEN '原始实验' THEN 0.85::DOUBLE WHEN '综述' THEN 0.55::DOUBLE ELSE 0.4::DOUBLE END AS study, CASE WHEN contains(j, '学报') THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS venue, CASE WHEN k = '综述' THEN 1.0::DOUBLE WHEN y IS NULL THEN NULL WHEN 2026 - y <= 5 THEN 1.0::DOUBLE WHEN 2026 - y <= 10 THEN 0.8::DOUBLE WHEN 2026 - y <= 20 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS recency FROM e",
     "paper_text": "SELECT doc_id, concat_ws(chr(10), 'title: ' || nullif(title, ''), 'source: ' || nullif(source, ''), 'year: ' || pub_year, 'language: ' || nullif(lang, '')) AS body FROM documents",
-    "keyword_files": "SELECT keyword, min_by(filename, chunk_index) AS filename FROM papers_index JOIN (VALUES ('kessary'), ('ocr'), ('2013'), ('rusk'), ('nothing')) k(keyword) ON contains(lower(filename), keyword) GROUP BY keyword",
+    "keyword_files": "SELECT keyword, filename, row_number() OVER (PARTITION BY keyword ORDER BY first) AS nth FROM (SELECT keyword, filename, min(chunk_index) AS first FROM papers_index JOIN (VALUES ('kessary'), ('ocr'), ('2013'), ('rusk'), ('nothing')) k(keyword) ON contains(lower(filename), keyword) GROUP BY ALL)",
 }
