@@ -45,7 +45,19 @@ def matrix_pivot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def matrix_report(spark: SparkSession, folder: str) -> DataFrame:
-    return M.report(M.grid(M.pairs(_entries(spark, folder))))
+    e = _entries(spark, folder)
+    return M.report(M.grid(M.pairs(e)), M.conflicts(M.values(e)))
+
+
+def cell_drill_down(spark: SparkSession, folder: str) -> DataFrame:
+    p = M.pairs(_entries(spark, folder))
+    return M.drill_down(M.grid(p), M.cells(p))
+
+
+def entity_synonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Compounds, some of them under names with synonyms, in canonical form."""
+    other = F.when(F.col("entry_id") % 5 == 0, " Moracin M").when(F.col("entry_id") % 5 == 1, "MORUSIN").when(F.col("entry_id") % 5 == 2, "sanggenon c").otherwise(F.col("compound"))
+    return table(spark, folder, "extracted").select("entry_id", M.normalised(other, M.COMPOUNDS, "").alias("entity"))
 
 
 def endpoint_parse(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,34 +189,45 @@ def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.ACTIONS.items())
 _E = f"""e AS (SELECT coalesce(filename, '?') AS filename, trim(coalesce(compound, '')) AS entity, CASE WHEN coalesce(action, '') = '' THEN '其他' ELSE coalesce(CASE trim(action) {_CASES} END, CASE lower(trim(action)) {_CASES} END, trim(action)) END AS action,
-  coalesce(compound, '') AS raw_entity, endpoint, entry_id FROM {{src}} WHERE doc_kind = '原始实验'), p AS (SELECT filename, entity, action FROM e WHERE entity <> '' AND action <> '')"""
+  coalesce(compound, '') AS raw_entity, endpoint, entry_id FROM {{src}} WHERE doc_kind = '原始实验'), p AS (SELECT filename, entity, action, entry_id FROM e WHERE entity <> '' AND action <> '')"""
 _W = "WITH " + _E.format(src="extracted")
-_CELLS = "SELECT entity, action, count(*) AS n, string_agg(DISTINCT filename, '|' ORDER BY filename) AS papers FROM {p} GROUP BY ALL"
-_STD = "(VALUES " + ", ".join(f"({i}, '{a}')" for i, a in enumerate(M.STANDARD)) + ") s(i, action)"
+_CELLS = "SELECT entity, action, CAST(sum(n) AS BIGINT) AS n, string_agg(filename, '|' ORDER BY first, filename) AS papers FROM (SELECT entity, action, filename, count(*) AS n, min(entry_id) AS first FROM {p} GROUP BY ALL) GROUP BY ALL"
+#: The actions written out, so that a wrong constant in the operator shows.
+_STD = "(VALUES (0, '降糖'), (1, '降脂'), (2, '抗炎'), (3, '抗肿瘤'), (4, '抗氧化'), (5, '神经保护'), (6, '抗菌'), (7, '抗病毒'), (8, '免疫调节'), (9, '保肝')) s(i, action)"
 _GRID = f"g AS (SELECT t.entity, s.action, s.i, (SELECT count(*) FROM p WHERE p.entity = t.entity AND p.action = s.action) AS n FROM (SELECT DISTINCT entity FROM p) t CROSS JOIN {_STD})"
-_PARSE = """r AS (SELECT {cols}, generate_subscripts(m, 1) - 1 AS k, unnest(m) AS m FROM (SELECT {cols}, regexp_extract_all(coalesce(endpoint, ''), '(?i)[-+]?\\d+(?:\\.\\d+)?\\s*(?:±\\s*[\\d.]+)?\\s*(?:nM|μM|uM|mM|mg/kg|μg/mL|ug/mL|mg/mL|%)?') AS m FROM {src})),
-v0 AS (SELECT {cols}, k, CAST(regexp_extract(m, '^([-+]?\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS value, replace(replace(lower(regexp_extract(m, '(?i)(nM|μM|uM|mM|mg/kg|μg/mL|ug/mL|mg/mL|%)$', 1)), 'um', 'μM'), 'ug', 'μg') AS unit FROM r),
-v AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY k) - 1 AS pos FROM v0 WHERE unit <> '')"""
+_UNIT = "nM|μM|uM|mM|mg/kg|μg/mL|ug/mL|mg/mL|%"
+_PARSE = """r AS (SELECT {cols}, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS m FROM (SELECT {cols}, regexp_extract_all(coalesce(endpoint, ''), '(?i)[-+]?\\d+(?:\\.\\d+)?\\s*(?:±\\s*[\\d.]+\\s*)?(?:""" + _UNIT + """)') AS m FROM {src})),
+v AS (SELECT {cols}, pos, CAST(regexp_extract(m, '^([-+]?\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS value, replace(replace(lower(regexp_extract(m, '(?i)(""" + _UNIT + """)$', 1)), 'um', 'μM'), 'ug', 'μg') AS unit FROM r)"""
 _UM = _W + ", n AS (SELECT * FROM e WHERE entity <> '' AND action <> ''), " + _PARSE.format(cols="entry_id, filename, entity, action", src="n") + """,
-u AS (SELECT filename, entity, action, CASE lower(unit) WHEN 'μm' THEN value WHEN 'nm' THEN value / 1000 WHEN 'mm' THEN value * 1000 END AS um FROM v)"""
+u AS (SELECT entry_id, pos, filename, entity, action, CASE lower(unit) WHEN 'μm' THEN value WHEN 'nm' THEN value / 1000 WHEN 'mm' THEN value * 1000 END AS um FROM v),
+c AS (SELECT entity, action, count(*) AS n, min(um) AS lo, max(um) AS hi, median(um) AS mid, string_agg(filename || '=' || CAST(round(um, 6) AS VARCHAR), '|' ORDER BY entry_id, pos) AS members FROM u WHERE um IS NOT NULL GROUP BY ALL),
+cf AS (SELECT entity, action, n, round(lo, 3) AS min_um, round(hi, 3) AS max_um, round(hi / lo, 2) AS fold, round(mid, 3) AS median_um, members, entity || ' x ' || action || ': values differ ' || CAST(round(hi / lo, 1) AS VARCHAR) || '-fold (' || CAST(round(lo, 6) AS VARCHAR) || ' to ' || CAST(round(hi, 6) AS VARCHAR) || ' uM); repeat with one method' AS suggestion FROM c WHERE n >= 2 AND lo > 0 AND hi / lo >= 3)"""
 _S = "s AS (SELECT l_suppkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos, l_extendedprice AS value FROM lineitem)"
 _L = "l AS (SELECT DISTINCT ON (id) *, CAST(CAST(ts AS TIMESTAMP) AS DATE) AS day FROM chat_log)"
 
 QUERIES = {f.__name__: f for f in (
-    matrix_cells, matrix_fallback, matrix_gaps, matrix_saturated, matrix_topn, matrix_pivot, matrix_report, endpoint_parse, conflicts, corpus_deviation, lastdigit_chi2, lastdigit_p, benford, step_variance, cross_table_const,
+    matrix_cells, matrix_fallback, matrix_gaps, matrix_saturated, matrix_topn, matrix_pivot, matrix_report, cell_drill_down, entity_synonyms, endpoint_parse, conflicts, corpus_deviation, lastdigit_chi2, lastdigit_p, benford, step_variance, cross_table_const,
     shapiro, run_checks, data_blocks, reliability_grade, log_totals, log_daily7, log_modes, log_hot_keywords, log_candidates, log_top_ips, log_page, token_valid, upsert_latest, password_hash, client_ip, rate_limit)}
 ORACLE = {
     "matrix_cells": f"{_W} {_CELLS.format(p='p')}",
     "matrix_fallback": f"""WITH x AS (SELECT * REPLACE (CASE WHEN model IS NOT NULL THEN compound END AS compound) FROM extracted), {_E.format(src='x')},
 bare AS (SELECT filename FROM e GROUP BY filename HAVING max(raw_entity) = ''), ls AS (SELECT DISTINCT filename, herb AS entity FROM x WHERE doc_kind = '原始实验' AND herb IS NOT NULL),
-a AS (SELECT * FROM p UNION ALL SELECT filename, ls.entity, e.action FROM ls JOIN bare USING (filename) JOIN e USING (filename) WHERE e.action <> '' AND ls.entity <> '') {_CELLS.format(p='a')}""",
+a AS (SELECT * FROM p UNION ALL SELECT filename, ls.entity, e.action, e.entry_id FROM ls JOIN bare USING (filename) JOIN e USING (filename) WHERE e.action <> '' AND ls.entity <> '') {_CELLS.format(p='a')}""",
     "matrix_gaps": f"{_W}, {_GRID} SELECT entity, action FROM g WHERE n = 0",
     "matrix_saturated": f"{_W}, {_GRID} SELECT entity, action, n FROM g WHERE n >= 5",
     "matrix_topn": f"{_W}, {_GRID}, t AS (SELECT entity, sum(n) AS total FROM g GROUP BY entity ORDER BY total DESC, entity LIMIT 25) SELECT entity, action, n FROM g WHERE entity IN (SELECT entity FROM t)",
     "matrix_pivot": f"{_W}, {_GRID} SELECT entity, " + ", ".join(f"CAST(sum(n) FILTER (i = {i}) AS BIGINT) AS a{i}" for i in range(len(M.STANDARD))) + " FROM g GROUP BY entity",
-    "matrix_report": f"{_W}, {_GRID} SELECT entity, string_agg(CASE WHEN n = 0 THEN '.' WHEN n < 5 THEN 'o' ELSE '#' END, '' ORDER BY i) AS line FROM g GROUP BY entity",
+    "matrix_report": f"""{_UM}, {_GRID}, ln AS (
+  SELECT 'matrix' AS section, 2 + row_number() OVER (ORDER BY entity) - 1 AS nr, '| ' || entity || ' | ' || string_agg(CASE WHEN n = 0 THEN '·' WHEN n < 5 THEN CAST(n AS VARCHAR) ELSE '+' || n END, ' | ' ORDER BY i) || ' |' AS line FROM g GROUP BY entity
+  UNION ALL SELECT 'gaps', row_number() OVER (ORDER BY entity, i) - 1, '- **' || entity || ' × ' || action || '**: 0' FROM g WHERE n = 0
+  UNION ALL SELECT 'saturated', row_number() OVER (ORDER BY entity, i) - 1, '- ' || entity || ' × ' || action || ': ' || n FROM g WHERE n >= 5
+  UNION ALL SELECT 'conflicts', row_number() OVER (ORDER BY entity, action, part) - 1, CASE WHEN part = 0 THEN '- **' || entity || ' × ' || action || '**: ' || CAST(min_um AS VARCHAR) || ' to ' || CAST(max_um AS VARCHAR) || ' uM (' || CAST(fold AS VARCHAR) || '-fold, median ' || CAST(median_um AS VARCHAR) || ' uM)' ELSE '  · ' || suggestion END FROM cf CROSS JOIN range(2) r(part)
+  UNION ALL SELECT 'matrix', 0, '| entity | 降糖 | 降脂 | 抗炎 | 抗肿瘤 | 抗氧化 | 神经保护 | 抗菌 | 抗病毒 | 免疫调节 | 保肝 |' UNION ALL SELECT 'matrix', 1, '|---|---|---|---|---|---|---|---|---|---|---|')
+SELECT section, nr, line FROM ln WHERE section NOT IN ('gaps', 'saturated') OR nr < 10""",
+    "cell_drill_down": f"{_W}, {_GRID}, ce AS ({_CELLS.format(p='p')}) SELECT g.entity, g.action, g.n, CASE WHEN g.n = 0 THEN 'gap' WHEN g.n >= 5 THEN 'dense' ELSE 'thin' END AS state, coalesce(papers, '') AS papers FROM g LEFT JOIN ce ON ce.entity = g.entity AND ce.action = g.action",
+    "entity_synonyms": "SELECT entry_id, CASE entry_id % 5 WHEN 0 THEN '桑辛素M' WHEN 1 THEN 'Morusin' WHEN 2 THEN '桑根酮C' ELSE coalesce(CASE lower(trim(compound)) WHEN 'mulberroside a' THEN '桑皮苷A' WHEN 'morusin' THEN 'Morusin' END, trim(coalesce(compound, ''))) END AS entity FROM extracted",
     "endpoint_parse": "WITH " + _PARSE.format(cols="entry_id", src="extracted") + " SELECT entry_id, CAST(pos AS INT) AS pos, value, unit FROM v",
-    "conflicts": _UM + ", c AS (SELECT entity, action, count(*) AS n, min(um) AS lo, max(um) AS hi, median(um) AS mid, string_agg(DISTINCT filename, '|' ORDER BY filename) AS papers FROM u WHERE um IS NOT NULL GROUP BY ALL) SELECT entity, action, n, round(lo, 3) AS min_um, round(hi, 3) AS max_um, round(hi / lo, 2) AS fold, round(mid, 3) AS median_um, papers FROM c WHERE n >= 2 AND lo > 0 AND hi / lo >= 3",
+    "conflicts": _UM + " SELECT * FROM cf",
     "corpus_deviation": _UM + ", m AS (SELECT entity, median(um) AS mid FROM u WHERE um IS NOT NULL GROUP BY entity) SELECT filename, entity, action, round(um, 6) AS um, round(greatest(um / mid, mid / um), 3) AS ratio FROM u JOIN m USING (entity) WHERE um > 0 AND mid > 0 AND greatest(um / mid, mid / um) >= 3",
     "lastdigit_chi2": f"WITH {_S}, d AS (SELECT id, CAST(right(regexp_replace(CAST(value AS VARCHAR), '[^0-9]', '', 'g'), 1) AS INT) AS d FROM s WHERE value IS NOT NULL), c AS (SELECT id, d, count(*) AS o FROM d GROUP BY ALL), n AS (SELECT id, count(*) AS n, count(*) FILTER (d IN (0, 5)) AS zf FROM d GROUP BY id HAVING count(*) >= 8) SELECT n.id, n, round(sum(pow(coalesce(o, 0) - n / 10.0::DOUBLE, 2) / (n / 10.0::DOUBLE)), 4) AS stat, round(any_value(zf)::DOUBLE / n, 3) AS zero_five FROM n CROSS JOIN range(10) g(k) LEFT JOIN c ON c.id = n.id AND c.d = g.k GROUP BY n.id, n",
     "benford": f"WITH {_S}, d AS (SELECT id, CAST(left(printf('%.9e', abs(value)), 1) AS INT) AS d FROM s WHERE value <> 0), n AS (SELECT id, count(*) AS n FROM d GROUP BY id HAVING count(*) >= 30), c AS (SELECT id, d, count(*) AS o FROM d GROUP BY ALL), x AS (SELECT n.id, n, sum(pow(coalesce(o, 0) - n * log10(1 + 1.0::DOUBLE / k), 2) / (n * log10(1 + 1.0::DOUBLE / k))) AS stat FROM n CROSS JOIN range(1, 10) g(k) LEFT JOIN c ON c.id = n.id AND c.d = g.k GROUP BY n.id, n), y AS (SELECT *, round(exp(-stat / 2) * (1 + stat / 2 + pow(stat / 2, 2) / 2 + pow(stat / 2, 3) / 6), 6) AS p FROM x) SELECT id, n, round(stat, 4) AS stat, p, CASE WHEN p < 0.01 THEN 'red' WHEN p < 0.05 THEN 'amber' ELSE 'ok' END AS verdict FROM y",
