@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumenfold.llm import bilstm_crf as net
 from lumenfold.llm import leaks, mixing, pii, scans, subjects, term_counts
@@ -78,8 +79,6 @@ def test_mix(spark):
 
 
 def test_curriculum_inverse(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(s, x / 20) for s in (-0.5, -0.1, 0.0, 0.3, 1.0) for x in range(21)], "slope double, x double")
     y = F.col("x") + F.col("slope") * (F.col("x") * F.col("x") - F.col("x"))
     assert df.select(F.max(F.abs(mixing._invert(y, F.col("slope")) - F.col("x")))).first()[0] < 1e-9
@@ -157,6 +156,7 @@ def test_recurring_misreads_are_no_codes(spark):
     """Forms of letters and digits are known by what else the corpus writes, not by their number alone."""
     seen = {"mulberry": 900, "mu1berry": 24, "14": 700, "l4": 30, "sy5y": 235, "ptp1b": 180, "co5mo5": 25, "cosmos": 600, "l9": 40, "19": 90}
     words = spark.createDataFrame(list(seen.items()), "word string, n bigint")
+    words = words.withColumn("n_joined", F.lit(0).cast("bigint"))
     assert {r.word for r in scans.known_codes(words, scans.links(words), 24_000_000).collect()} == {"sy5y", "ptp1b", "l9"}
 
 
