@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,6 +96,17 @@ def constant_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return g.select("id", "n", F.round(F.round("m", 9), 4).alias("mean_diff"), F.round("rel", 6).alias("var_rel"), F.when(F.col("rel") < 1e-6, "red").when(F.col("rel") < 1e-3, "amber").otherwise("ok").alias("verdict"))
 
 
+def constant_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, n, mean_ratio, var_rel, verdict) of pairs of series of equal length, at least 3: whether one is a constant multiple of the other.
+
+    Places where the second is 0 or either is null tell nothing and are left out.
+    """
+    r = a.select("id", "pos", "value").join(b.select("id", "pos", F.col("value").alias("other")), ["id", "pos"]).where("value is not null and other is not null and other <> 0")
+    g = r.groupBy("id").agg(F.count("*").alias("n"), F.avg(F.col("value") / F.col("other")).alias("m"), F.var_pop(F.col("value") / F.col("other")).alias("v")).where("n >= 3")
+    g = g.withColumn("rel", F.col("v") / (F.col("m") * F.col("m") + 1e-12))
+    return g.select("id", "n", F.round(F.round("m", 9), 4).alias("mean_ratio"), F.round("rel", 6).alias("var_rel"), F.when(F.col("rel") < 1e-6, "red").when(F.col("rel") < 1e-3, "amber").otherwise("ok").alias("verdict"))
+
+
 def _ppf(p: float) -> float:
     from statistics import NormalDist
 
@@ -158,22 +170,72 @@ _BLOCK = r'(\{[^{}]*"filename"[^{}]*"values"[^{}]*\})'
 
 
 def blocks(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Data blocks in text: objects without inner braces that have filename before values; bad ones are left out."""
-    schema = "filename string, compound string, values array<double>, unit string, n int, R2 double, checks array<string>"
-    got = texts.select("id", F.explode(F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(1))).alias("raw")).withColumn("block", F.from_json("raw", schema))
-    return got.where("block.values is not null").select("id", "block.*")
+    """(id, block, filename, compound, unit, checks, values): data blocks in text, numbered from 0 within each.
 
+    Blocks are objects without inner braces that have filename before values;
+    bad ones are left out. Only numbers and truth values (as 1 and 0) of the
+    values count; what else stands among them is passed over.
+    """
+    schema = "filename string, compound string, values array<variant>, unit string, checks array<string>"
+    kinds = F.transform("x.values", lambda v: F.struct(F.schema_of_variant(v).alias("kind"), v.alias("v")))
+    number = lambda e: F.when(e["kind"] == "BOOLEAN", F.try_variant_get(e["v"], "$", "boolean").cast("int").cast("double")).when(~e["kind"].isin("STRING", "VOID") & ~e["kind"].rlike("^(ARRAY|OBJECT)"), F.try_variant_get(e["v"], "$", "double"))
+    got = texts.select("id", F.posexplode(F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(1))).alias("block", "raw")).withColumn("x", F.from_json("raw", schema))
+    got = got.where("x.values is not null")
+    return got.select("id", "block", "x.filename", "x.compound", "x.unit", "x.checks", F.filter(F.transform(kinds, number), lambda v: v.isNotNull()).alias("values"))
 
-def run_checks(series: DataFrame, checks: tuple[str, ...] = CHECKS) -> DataFrame:
-    """(id, method, n, verdict) of the named checks that apply; unknown names are skipped."""
+
+def results(series: DataFrame, checks: tuple[str, ...] = CHECKS) -> DataFrame:
+    """(id, method, n, stat, p, zero_five, step_var_rel, r2, verdict) of the named checks that apply; unknown names are skipped."""
     made = {"lastdigit": last_digits, "benford": benford, "runlength": step_variance, "shapiro": normality}
-    parts = [made[c](series).select("id", F.lit(c).alias("method"), F.col("n").cast("bigint").alias("n"), "verdict") for c in checks if c in made]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    fields = ("stat", "p", "zero_five", "step_var_rel", "r2")
+    parts = []
+    for c in checks:
+        if c in made:
+            d = made[c](series)
+            parts.append(d.select("id", F.lit(c).alias("method"), F.col("n").cast("bigint").alias("n"), *[(F.col(f) if f in d.columns else F.lit(None)).cast("double").alias(f) for f in fields], "verdict"))
+    return reduce(DataFrame.unionAll, parts)
 
 
-def grade(tier_: Column, red: Column, amber: Column, standard: Column) -> Column:
-    """Reliability from the tier (A green, B amber, C red), moved down by flags; standards stay green, C is never green."""
-    return F.when(standard, "green").when((tier_ == "C") | (red > 0), "red").when((tier_ == "B") | (amber > 0), "amber").otherwise("green")
+def run_checks(series: DataFrame, checks: tuple[str, ...] = CHECKS) -> DataFrame:
+    """(id, method, n, verdict) of the named checks that apply."""
+    return results(series, checks).select("id", "method", "n", "verdict")
+
+
+def block_results(found: DataFrame) -> DataFrame:
+    """results of the blocks of texts, id being a struct (id, block): those that a block names, or all where it names none."""
+    key = F.struct("id", "block")
+    series = found.select(key.alias("id"), F.posexplode("values").alias("pos", "value"))
+    asked = found.select(key.alias("id"), "checks")
+    return results(series).join(asked, "id").where(F.coalesce(F.size("checks"), F.lit(0)).isin(-1, 0) | F.array_contains("checks", F.col("method"))).drop("checks")
+
+
+def audit(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(id, report): the checks of all data blocks of each text as Markdown; texts without blocks have none.
+
+    A block has a line with its file, compound, unit and number of values, and a
+    line for each check in the order of CHECKS, or one that says that none applies.
+    """
+    found = blocks(texts, text)
+    number = lambda c: float_text(F.col(c))
+    line = F.concat(
+        F.lit("  - "), "method", F.lit(": "),
+        F.when(F.col("method") == "lastdigit", F.concat(F.lit("p="), number("p"), F.lit(", 0/5 "), number("zero_five")))
+        .when(F.col("method") == "benford", F.concat(F.lit("p="), number("p")))
+        .when(F.col("method") == "runlength", F.concat(F.lit("rel="), number("step_var_rel"), F.coalesce(F.concat(F.lit(", r2="), number("r2")), F.lit(""))))
+        .otherwise(F.concat(F.lit("W="), number("stat"), F.lit(", p="), number("p"))), F.lit(" -> "), "verdict")
+    place = F.array_position(F.array(*map(F.lit, CHECKS)), F.col("method"))
+    lines = block_results(found).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), line.alias("line")))).alias("lines"))
+    name = lambda c: F.coalesce(F.col(c), F.lit("?"))
+    head = F.concat(F.lit("- **"), name("filename"), F.lit("** "), name("compound"), F.coalesce(F.concat(F.lit(" ("), F.nullif("unit", F.lit("")), F.lit(")")), F.lit("")), F.lit(", n="), F.size("values").cast("string"))
+    heads = found.select(F.struct("id", "block").alias("id"), head.alias("head"))
+    body = F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("  - too few values, not checked"))
+    one = heads.join(lines, "id", "left").select("id.id", F.struct("id.block", F.concat("head", F.lit("\n"), body).alias("part")).alias("x"))
+    return one.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]), "\n").alias("report"))
+
+
+def grade(tier_: Column, red: Column, amber: Column, standard: Column, evidence: Column | None = None) -> Column:
+    """Reliability from the tier (A green, B amber, C red), moved down by flags; standards stay green, C is never green, no numeric evidence is red."""
+    out = F.when(standard, "green").when((tier_ == "C") | (red > 0), "red")
+    if evidence is not None:
+        out = out.when(~F.coalesce(evidence, F.lit(False)), "red")
+    return out.when((tier_ == "B") | (amber > 0), "amber").otherwise("green")

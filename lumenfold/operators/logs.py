@@ -54,6 +54,20 @@ def page(log: DataFrame, number: int, size: int) -> DataFrame:
     return log.orderBy(F.desc("id")).offset((number - 1) * size).limit(size)
 
 
+def page_count(log: DataFrame, size: int) -> DataFrame:
+    """One row: the number of rows and of pages of them, at least one page."""
+    return log.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("bigint"))
+
+
+def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
+    return table.unionByName(rows)
+
+
+def deleted(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """table without the rows of the keys; rows without a key stay."""
+    return table.join(keys.select(key).distinct(), key, "left_anti")
+
+
 def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
     """The last row of each key: an upsert over an append-only table."""
     w = Window.partitionBy(key).orderBy(F.desc(by))
@@ -68,6 +82,12 @@ def password_hash(salt: Column, secret: Column) -> Column:
     return F.concat(F.lit("sha256:"), salt, F.lit(":"), F.sha2(F.concat(salt, secret), 256))
 
 
+def password_ok(secret: Column, stored: Column, salt: Column) -> Column:
+    """Whether a secret is that of a stored hash, or of a stored plain text from before there were hashes; nothing stored fails."""
+    kept = F.coalesce(stored, F.lit(""))
+    return F.when(kept == "", F.lit(False)).when(F.startswith(kept, F.lit("sha256:")), kept == password_hash(salt, secret)).otherwise(kept == secret)
+
+
 def client_ip(forwarded: Column) -> Column:
     return F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))
 
