@@ -40,6 +40,46 @@ def located(rows: DataFrame, piece: str, text: str, offsets: str) -> DataFrame:
     return r.withColumn("page", page).drop("_body", "_whole", "_off", "_hit", "_start", "_end")
 
 
+def slides(docs: DataFrame, head: str = "slide") -> DataFrame:
+    """(doc_id, page_no, text): slides of a text in which each is led by a line [slide n], without those lines."""
+    parts = F.regexp_extract_all("text", F.lit(rf"(?s)(\[{head} \d+\]\n.*?)(?=\n\n\[{head} \d+\]\n|\z)"), F.lit(1))
+    one = docs.select("doc_id", F.explode(parts).alias("part"))
+    return one.select("doc_id", F.regexp_extract("part", r"^\[\w+ (\d+)\]", 1).cast("int").alias("page_no"), F.regexp_replace("part", r"^\[\w+ \d+\]\n", "").alias("text"))
+
+
+def with_scans(pages: DataFrame, scans: DataFrame) -> DataFrame:
+    """Pages of documents; one that has no text at all on its pages takes those of its scan, if there is one, split at blank lines."""
+    bare = pages.groupBy("doc_id").agg(F.max(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0).alias("any")).where("not any").select("doc_id")
+    read = scans.join(bare, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", r"\n\n")).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page_no"), "text")
+    return pages.join(read.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "page_no", "text").unionByName(read)
+
+
+def assigned(chunks: DataFrame, pages: DataFrame, given: DataFrame, summary: str = "[summary]") -> DataFrame:
+    """chunks with page, null where none is known.
+
+    chunks has chunk_index, filename and text; pages has filename, page_no and
+    text; given has filename and pages, the pages of its pieces in order, written
+    down by hand. A file in given takes those, '' and missing ones giving none;
+    summaries have no page; other pieces are located by their text without the
+    first line, which repeats the end of the piece before.
+    """
+    nth = F.row_number().over(Window.partitionBy("filename").orderBy("chunk_index"))
+    by_hand = chunks.join(given.select("filename", F.col("pages").alias("_given")), "filename").withColumn("_n", nth)
+    by_hand = by_hand.withColumn("page", F.nullif(F.get("_given", F.col("_n") - 1), F.lit(""))).drop("_given", "_n")
+    rest = chunks.join(given.select("filename"), "filename", "left_anti")
+    skip = F.coalesce(F.startswith("text", F.lit(summary)), F.lit(False))
+    solid = pages.select("filename", "page_no", T.no_space(F.coalesce("text", F.lit(""))).alias("t"))
+    listed = F.array_sort(F.collect_list(F.struct("page_no", "t")))
+    # The pages of one file are one document, as they are read.
+    whole = solid.groupBy("filename").agg(listed.alias("p")).select("filename", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("_whole_text"), F.transform("p", lambda x: x["page_no"]).alias("_numbers"), F.transform("p", lambda x, i: F.aggregate(F.slice(F.col("p"), 1, i), F.lit(0), lambda a, y: a + F.length(y["t"]))).alias("_offsets"))
+    body = F.when(F.instr("text", "\n") > 0, F.substring(F.col("text"), F.instr("text", "\n") + 1, F.length("text"))).otherwise(F.col("text"))
+    found = located(rest.where(~skip).join(whole, "filename").withColumn("_piece", body), "_piece", "_whole_text", "_offsets")
+    number = lambda part: F.get("_numbers", F.split_part("page", F.lit("-"), F.lit(part)).try_cast("int") - 1).cast("string")
+    named = F.when(F.contains("page", F.lit("-")), F.concat_ws("-", number(1), number(2))).otherwise(number(1))
+    found = found.withColumn("page", named).select("chunk_index", F.col("page").alias("_page"))
+    return by_hand.unionByName(rest.join(found, "chunk_index", "left").withColumnRenamed("_page", "page"))
+
+
 def scoring_text(chunks: DataFrame, part: int = 500, budget: int = 3000) -> DataFrame:
     """(filename, body): a title line, then the first part of each piece in order until the parts before exceed the budget, cut there."""
     p = chunks.select("filename", "title", "chunk_index", F.left(F.coalesce("text", F.lit("")), F.lit(part)).alias("part"))

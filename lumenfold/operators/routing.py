@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,10 @@ def question_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)[\p{Punct}\p{IsPunctuation}\s]+", ""))
 
 
-def new_followups(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Questions whose key is not known, the first of each key; asked has id, question."""
+def new_followups(asked: DataFrame, known: DataFrame, refused: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Questions whose key is not known, the first of each key; asked has id, question. Those that refused gives a reason for are left out first."""
+    if refused is not None:
+        asked = asked.where(refused(F.col("question")).isNull())
     fresh = asked.withColumn("k", question_key(F.col("question"))).where("k <> ''").join(known.select(question_key(F.col("question")).alias("k")), "k", "left_anti")
     return fresh.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where("n = 1").select("id", "question")
 
@@ -113,6 +117,42 @@ def work_list(items: DataFrame, conditions: tuple[str, ...], reps: int, done: Da
     return every.join(done.select("cond", "id", "rep"), ["cond", "id", "rep"], "left_anti")
 
 
-def verdict_class(c: Column) -> Column:
-    """ok, bad or warn of a verdict text; ok is tested first."""
-    return F.when(c.rlike("✅|ok|normal|正常"), "ok").when(c.rlike("🔴|red|造假"), "bad").otherwise("warn")
+def small_talk(prompt: Column, phrases: tuple[str, ...], image: Column | None = None) -> Column:
+    """Whether a prompt is small talk that needs no retrieval: it holds one of the phrases, also within a word; never with a picture."""
+    talk = has_any(T.strip(prompt), phrases)
+    return talk if image is None else talk & ~image
+
+
+def intent(prompt: Column, image: Column, rules: list[tuple[str, tuple[str, ...]]], judged: Column | None = None, picture: str = "identify", otherwise: str = "concept") -> Column:
+    """The intent of a request: with a picture one of its own; blank text has the default; then the first rule, then a judged one, then the default."""
+    bare = F.length(T.strip(F.coalesce(prompt, F.lit("")))) == 0
+    last = F.lit(otherwise) if judged is None else F.coalesce(judged, F.lit(otherwise))
+    out = F.when(F.coalesce(image, F.lit(False)), picture).when(bare, otherwise)
+    for name, words in rules:
+        out = out.when(has_any(prompt, words), name)
+    return out.otherwise(last)
+
+
+def instruction(name: Column, texts: dict[str, str]) -> Column:
+    """The text that an intent adds to a prompt; its name is stripped and in lower case, an unknown or missing one adds nothing."""
+    m = F.create_map(*[F.lit(x) for kv in texts.items() for x in kv])
+    return F.coalesce(F.element_at(m, F.lower(T.strip(F.coalesce(name, F.lit(""))))), F.lit(""))
+
+
+#: What an item that is to be mended hits, the gravest first.
+IMPACT = ("submission", "reliability", "readability")
+
+
+def rated(rules: DataFrame, findings: DataFrame, impact: tuple[str, ...] = IMPACT) -> DataFrame:
+    """(id, rating, nth): every rule with its rating, and the order in which red ones are to be mended.
+
+    rules has section, pos, id, severe and hits; findings id and rating (green,
+    amber, red). A rule that is not mentioned is never left out: it is red where
+    severe, else amber. Red ones come by what they hit, then by section and pos.
+    """
+    r = rules.join(findings.select("id", F.col("rating").alias("_found")), "id", "left")
+    r = r.withColumn("rating", F.coalesce("_found", F.when(F.coalesce("severe", F.lit(False)), "red").otherwise("amber")))
+    known = F.array_position(F.array(*map(F.lit, impact)), F.col("hits"))
+    order = Window.orderBy(F.when(F.coalesce(known, F.lit(0)) > 0, known).otherwise(len(impact) + 1), "section", "pos", "id")
+    red = r.where("rating = 'red'").withColumn("nth", F.row_number().over(order))  # as many as there are rules in a checklist
+    return red.select("id", "rating", "nth").unionByName(r.where("rating <> 'red'").select("id", "rating", F.lit(None).cast("int").alias("nth")))

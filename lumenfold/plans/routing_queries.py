@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators import pages as P
@@ -13,6 +13,8 @@ from lumenfold.sources import files
 from lumenfold.sources.tables import table
 from lumenfold.streaming import streams
 
+#: A file whose pages are given by hand. Sample configuration.
+GIVEN = "kessary2013_assay.pdf"
 # Sample configuration: neutral word lists.
 STRONG, SUBJECTS, ACTIONS = ("systemprompt", "你是谁"), ("you", "本系统"), ("built", "版本")
 FOREIGN, ALLOWED = ("oven", "arsenic"), ("mulberry", "桑")
@@ -28,9 +30,36 @@ def meta_filter(spark: SparkSession, folder: str) -> DataFrame:
     return _log(spark, folder).select("id", I.meta_question(F.coalesce("prompt", F.lit("")), STRONG, SUBJECTS, ACTIONS).alias("meta"))
 
 
+def _scope(c: Column) -> Column:
+    return I.scope(c, r"(?i)dose|服用", (r"桑.{1,2}最早见于.*",), FOREIGN, ALLOWED)
+
+
 def scope_filter(spark: SparkSession, folder: str) -> DataFrame:
-    code = I.scope(F.col("prompt"), r"(?i)dose|服用", (r"桑.{1,2}最早见于.*",), FOREIGN, ALLOWED)
-    return _log(spark, folder).groupBy(F.coalesce(code, F.lit("in_scope")).alias("scope")).agg(F.count("*").alias("n"))
+    return _log(spark, folder).select("id", F.coalesce(_scope(F.col("prompt")), F.lit("in_scope")).alias("scope"))
+
+
+PHRASES = ("thank", "hello", "你好", "谢谢", "hi")
+
+
+def small_talk(spark: SparkSession, folder: str) -> DataFrame:
+    return _log(spark, folder).select("id", I.small_talk(F.col("prompt"), PHRASES, F.col("think") == 1).alias("talk"))
+
+
+TEXTS = {"compare": "Two parts, then the difference.", "exam": "Short points only.", "identify": "Look and ask; do not judge."}
+
+
+def intent_texts(spark: SparkSession, folder: str) -> DataFrame:
+    log = _log(spark, folder).select("id", I.intent(F.col("prompt"), F.col("think") == 1, INTENTS).alias("intent"))
+    return log.select("id", "intent", I.instruction(F.concat(F.lit(" "), F.upper("intent")), TEXTS).alias("text"))
+
+
+def protocol_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings of a checklist (nations for rules), of which some are found."""
+    n = table(spark, folder, "nation")
+    hits = F.when(F.col("n_nationkey") % 4 == 0, "readability").when(F.col("n_nationkey") % 4 == 1, "submission").when(F.col("n_nationkey") % 4 == 2, "reliability")
+    rules = n.select(F.col("n_regionkey").alias("section"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("id"), (F.col("n_nationkey") % 3 == 0).alias("severe"), hits.alias("hits"))
+    found = n.where("n_nationkey % 5 < 3").select(F.col("n_name").alias("id"), F.when(F.col("n_nationkey") % 5 == 0, "red").when(F.col("n_nationkey") % 5 == 1, "amber").otherwise("green").alias("rating"))
+    return I.rated(rules, found)
 
 
 def intent_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +67,7 @@ def intent_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topic_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return _log(spark, folder).groupBy(I.first_match(F.col("prompt"), TOPICS, "on").alias("topic")).agg(F.count("*").alias("n"))
+    return _log(spark, folder).select("id", I.first_match(F.col("prompt"), TOPICS, "on").alias("topic"))
 
 
 def request_guard(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +85,7 @@ def stream_cut(spark: SparkSession, folder: str) -> DataFrame:
 
 def followup_dedup(spark: SparkSession, folder: str) -> DataFrame:
     log = _log(spark, folder)
-    return I.new_followups(log.where("think = 1").select("id", F.col("prompt").alias("question")), log.where("think = 0").select(F.col("prompt").alias("question")))
+    return I.new_followups(log.where("think = 1").select("id", F.col("prompt").alias("question")), log.where("think = 0").select(F.col("prompt").alias("question")), _scope)
 
 
 def followup_parse(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,11 +115,11 @@ def latency_mean(spark: SparkSession, folder: str) -> DataFrame:
     return I.latencies(table(spark, folder, "paper_eval_answers_v3").distinct())
 
 
-CONDITIONS = ("flash_base", "flash_rag", "pro_base", "new_cond")
+CONDITIONS = ("flash_base", "flash_rag", "flash_think", "pro_base", "pro_rag", "pro_think", "new_cond", "other_cond")
 
 
 def eval_worklist(spark: SparkSession, folder: str) -> DataFrame:
-    return I.work_list(table(spark, folder, "paper_eval_items_v2"), CONDITIONS, 2, table(spark, folder, "paper_eval_answers_v3"))
+    return I.work_list(table(spark, folder, "paper_eval_items_v2"), CONDITIONS, 3, table(spark, folder, "paper_eval_answers_v3"))
 
 
 def rule_sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,9 +140,20 @@ def recency_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_locate(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of documents found again in their texts, the pages being runs of 300 characters."""
-    docs = lineage.spread(table(spark, folder, "documents").where("length(text) > 60").select("doc_id", "text"))
-    offsets = F.expr("transform(sequence(0, cast((length(text) - 1) / 300 as int)), i -> i * 300)")
-    return P.located(docs.withColumn("offsets", offsets).withColumn("piece", F.expr("substring(text, 41, 20000)")), "piece", "text", "offsets").select("doc_id", "page")
+    docs = lineage.spread(table(spark, folder, "documents").select("doc_id", "text"))
+    offsets = F.expr("transform(sequence(0, cast(greatest(length(text) - 1, 0) / 300 as int)), i -> i * 300)")
+    return P.located(docs.withColumn("offsets", offsets).withColumn("piece", F.expr("substring(text, 41)")), "piece", "text", "offsets").select("doc_id", "page")
+
+
+def page_assigned(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of stored pieces: given by hand for one file, none for summaries, else found without the line that repeats the piece before."""
+    c = table(spark, folder, "papers_index").where("text is not null").select("chunk_index", "filename", "text")
+    first = c.groupBy("filename").agg(F.min("chunk_index").alias("first"))
+    marked = c.join(first, "filename").withColumn("text", F.when((F.col("chunk_index") == F.col("first")) & (F.col("chunk_index") % 2 == 0), F.concat(F.lit("[summary] "), "text")).otherwise(F.col("text")))
+    texts = c.groupBy("filename", "chunk_index").agg(F.first("text").alias("text")).select("filename", F.col("chunk_index").alias("page_no"), "text")
+    given = spark.createDataFrame([(GIVEN, ["7", "", "9-10"])], "filename string, pages array<string>")
+    pages = texts.select("filename", F.dense_rank().over(Window.partitionBy("filename").orderBy("page_no")).alias("page_no"), "text")
+    return P.assigned(marked.drop("first"), pages, given).select("chunk_index", "page")
 
 
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,14 +193,21 @@ _SOLID = "regexp_replace(coalesce(prompt, ''), '[\\s\\x{3000}]+', '', 'g')"
 _V = "a AS (SELECT DISTINCT * FROM paper_eval_answers_v3), v AS (SELECT cond, id, rep, coalesce(sec > 5, false) AS pass FROM a), j AS (SELECT v.*, cat FROM v JOIN paper_eval_items_v2 USING (id))"
 _RATES = f"{_V}, r AS (SELECT cond, CASE WHEN grouping(cat) = 1 THEN 'overall' ELSE cat END AS cat, count(*) FILTER (pass) AS passed, count(*) AS n, round(count(*) FILTER (pass) * 100.0::DOUBLE / count(*), 1) AS rate FROM j GROUP BY GROUPING SETS ((cond, cat), (cond)))"
 
+_SCOPE = f"CASE WHEN regexp_matches({_SOLID}, '(?i)dose|服用') THEN 'refuse_search' WHEN regexp_full_match({_SOLID}, '桑.{{1,2}}最早见于.*') THEN 'refuse_full' WHEN {_any('prompt', FOREIGN)} AND NOT {_any('prompt', ALLOWED)} THEN 'refuse_foreign' ELSE 'in_scope' END"
+
 QUERIES = {f.__name__: f for f in (
-    meta_filter, scope_filter, intent_rules, topic_gate, request_guard, followup_strip, stream_cut, followup_dedup, followup_parse, verdict_parse, passrate_rollup, passrate_pivot, latency_mean, eval_worklist, rule_sections, rule_rendering,
-    recency_score, page_locate, page_texts, scoring_text, xlsx_roles, response_json, daily_stream)}
+    meta_filter, scope_filter, small_talk, intent_rules, intent_texts, protocol_ratings, topic_gate, request_guard, followup_strip, stream_cut, followup_dedup, followup_parse, verdict_parse, passrate_rollup, passrate_pivot, latency_mean, eval_worklist, rule_sections, rule_rendering,
+    recency_score, page_locate, page_assigned, page_texts, scoring_text, xlsx_roles, response_json, daily_stream)}
 ORACLE = {
     "meta_filter": f"WITH {_L} SELECT id, {_any(_SOLID, STRONG)} OR ({_any(_SOLID, SUBJECTS)} AND {_any(_SOLID, ACTIONS)}) AS meta FROM l",
-    "scope_filter": f"WITH {_L} SELECT CASE WHEN regexp_matches({_SOLID}, '(?i)dose|服用') THEN 'refuse_search' WHEN regexp_full_match({_SOLID}, '桑.{{1,2}}最早见于.*') THEN 'refuse_full' WHEN {_any('prompt', FOREIGN)} AND NOT {_any('prompt', ALLOWED)} THEN 'refuse_foreign' ELSE 'in_scope' END AS scope, count(*) AS n FROM l GROUP BY 1",
+    "scope_filter": f"WITH {_L} SELECT id, {_SCOPE} AS scope FROM l",
     "intent_rules": f"WITH {_L} SELECT id, {_case('prompt', INTENTS, 'concept')} AS intent FROM l",
-    "topic_gate": f"WITH {_L} SELECT {_case('prompt', TOPICS, 'on')} AS topic, count(*) AS n FROM l GROUP BY 1",
+    "topic_gate": f"WITH {_L} SELECT id, {_case('prompt', TOPICS, 'on')} AS topic FROM l",
+    "small_talk": f"WITH {_L} SELECT id, {_any('prompt', PHRASES)} AND think <> 1 AS talk FROM l",
+    "intent_texts": f"WITH {_L}, i AS (SELECT id, CASE WHEN think = 1 THEN 'identify' WHEN {_SOLID} = '' THEN 'concept' ELSE {_case('prompt', INTENTS, 'concept')} END AS intent FROM l) SELECT id, intent, CASE intent WHEN 'compare' THEN 'Two parts, then the difference.' WHEN 'exam' THEN 'Short points only.' WHEN 'identify' THEN 'Look and ask; do not judge.' ELSE '' END AS text FROM i",
+    "protocol_ratings": "WITH r AS (SELECT *, CASE n_nationkey % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'amber' WHEN 2 THEN 'green' ELSE CASE WHEN n_nationkey % 3 = 0 THEN 'red' ELSE 'amber' END END AS rating FROM nation) SELECT n_name AS id, rating, CASE WHEN rating = 'red' THEN CAST(row_number() OVER (PARTITION BY rating ORDER BY CASE n_nationkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 0 THEN 3 ELSE 4 END, n_regionkey, n_nationkey) AS INT) END AS nth FROM r",
+    "followup_dedup": f"WITH {_L}, k AS (SELECT id, prompt, think, {_SCOPE} AS scope, lower(regexp_replace(prompt, '[\\p{{P}}\\p{{S}}\\s\\x{{3000}}\\x{{00A0}}\\x{{2000}}-\\x{{200A}}]+', '', 'g')) AS key FROM l WHERE prompt IS NOT NULL) SELECT min(id) AS id, min_by(prompt, id) AS question FROM k WHERE think = 1 AND scope = 'in_scope' AND key <> '' AND key NOT IN (SELECT key FROM k WHERE think = 0) GROUP BY key",
+    "followup_parse": f"WITH {_L}, c AS (SELECT id, regexp_replace(regexp_replace(trim(prompt, ' \t\r\n\u3000'), '^[\"''“”]+|[\"''“”]+$', '', 'g'), '^[\\s\\x{{3000}}]+|[\\s\\x{{3000}}]+$', '', 'g') AS q FROM l), m AS (SELECT id, CASE WHEN regexp_matches(q, '[?？]$') THEN q ELSE q || '？' END AS q, q AS bare FROM c) SELECT id, CASE WHEN coalesce(bare, '') <> '' AND length(q) <= 26 THEN q ELSE '' END AS questions FROM m",
     "request_guard": f"WITH {_L} SELECT id, CASE WHEN trim(regexp_replace(coalesce(answer, ''), '[\\s\\x{{3000}}]+', '', 'g')) = '' AND (think = 0 AND mode IS DISTINCT FROM 'audit' OR think = 1 AND user_id IS NULL) THEN 'empty' WHEN think = 0 AND mode = 'audit' THEN 'bad_image' ELSE 'ok' END AS error FROM l",
     "followup_strip": f"WITH {_L} SELECT id, md5(regexp_replace(coalesce(answer, ''), '(?:\\s*(?:^|\\n)[ \\t]*💬[^\\n]*)+\\s*$', '')) AS digest FROM l",
     "stream_cut": f"WITH {_L}, c AS (SELECT id, split_part(coalesce(answer, ''), '💬', 1) AS t FROM l), p AS (SELECT id, t, string_split(t, 'the ') AS s FROM c) SELECT id, md5(CASE WHEN len(s) > 2 THEN s[1] || 'the ' || s[2] ELSE t END) AS digest FROM p",
@@ -168,7 +215,7 @@ ORACLE = {
     "passrate_rollup": f"WITH {_RATES} SELECT cond, cat, passed, n, rate FROM r",
     "passrate_pivot": f"WITH {_RATES} SELECT cond, max(rate) FILTER (cat = 'key_facts') AS key_facts, max(rate) FILTER (cat = 'terminology') AS terminology, max(rate) FILTER (cat = 'overall') AS overall FROM r GROUP BY cond",
     "latency_mean": "SELECT cond, round(avg(sec), 1) AS mean_sec FROM (SELECT DISTINCT * FROM paper_eval_answers_v3) GROUP BY cond",
-    "eval_worklist": "SELECT c AS cond, id, CAST(rep AS INT) AS rep FROM paper_eval_items_v2 i CROSS JOIN (VALUES " + ", ".join(f"('{c}')" for c in CONDITIONS) + ") c(c) CROSS JOIN range(2) r(rep) WHERE NOT EXISTS (SELECT 1 FROM paper_eval_answers_v3 a WHERE a.cond = c.c AND a.id = i.id AND a.rep = r.rep)",
+    "eval_worklist": "SELECT c AS cond, id, CAST(rep AS INT) AS rep FROM paper_eval_items_v2 i CROSS JOIN (VALUES " + ", ".join(f"('{c}')" for c in CONDITIONS) + ") c(c) CROSS JOIN range(3) r(rep) WHERE NOT EXISTS (SELECT 1 FROM paper_eval_answers_v3 a WHERE a.cond = c.c AND a.id = i.id AND a.rep = r.rep)",
     "rule_sections": "SELECT n_regionkey AS section, count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS ids FROM nation GROUP BY n_regionkey",
     "rule_rendering": "SELECT n_regionkey AS section, string_agg(n_nationkey || ' ' || n_name || CASE WHEN n_nationkey > 9 THEN ' (p. ' || n_nationkey || ')' ELSE '' END || CASE WHEN n_nationkey < 5 THEN chr(10) || 'must: ' || n_name ELSE '' END, chr(10) ORDER BY n_nationkey) AS body FROM nation GROUP BY n_regionkey",
     "recency_score": "SELECT CASE WHEN pub_year IS NULL THEN NULL WHEN 2026 - pub_year <= 5 THEN 1.0::DOUBLE WHEN 2026 - pub_year <= 10 THEN 0.8::DOUBLE WHEN 2026 - pub_year <= 20 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS recency, count(*) AS n FROM documents GROUP BY 1",
