@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
@@ -36,10 +36,21 @@ def statistics(chunks: DataFrame) -> DataFrame:
 
 
 def without_files(chunks: DataFrame, dropped: DataFrame) -> DataFrame:
-    return chunks.join(F.broadcast(dropped.select("filename")), "filename", "left_anti")
+    return chunks.join(dropped.select("filename"), "filename", "left_anti")
+
+
+def unscored(chunks: DataFrame, scores: DataFrame) -> DataFrame:
+    """(filename): files of the index that have no score."""
+    return chunks.select("filename").where("filename <> ''").distinct().join(scores.select("filename"), "filename", "left_anti")
 
 
 def joined_body(chunks: DataFrame, most: int = 20_000) -> DataFrame:
-    """(filename, body): the pieces of a file in order, joined by line feeds and cut at most characters."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk_index", F.coalesce("text", F.lit("")).alias("text"))))
-    return chunks.groupBy("filename").agg(F.left(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), F.lit(most)).alias("body"))
+    """(filename, body): the pieces of a file in order, joined by line feeds and cut at most characters.
+
+    Pieces that begin behind the cut are left out before a file is gathered.
+    """
+    before = Window.partitionBy("filename").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.coalesce("text", F.lit(""))
+    near = chunks.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0))).where(F.col("_before") < most)
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", text.alias("text"))))
+    return near.groupBy("filename").agg(F.left(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), F.lit(most)).alias("body"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
+from lumenfold.operators.routing import cut_stream, strip_followup
 
 
 def statutory_line(queries: DataFrame, chunks: DataFrame, pattern: str, start: str, heading: str, until: str, line: str) -> DataFrame:
@@ -59,6 +60,29 @@ def cached(files: DataFrame, sidecar: DataFrame, make: Column | None = None, for
     return j.select("filename", F.when(use, F.col("_s")).otherwise(made).alias("summary"), (~use).alias("made"))
 
 
+def remembered(asked: DataFrame, memo: DataFrame, make: Column, keep_failures: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(results, memo) of a lookup by key: what the memo has, else what make gives, null being a failure.
+
+    asked has key, and what make reads; memo key and value. A failure counts as
+    an empty value; it is remembered, so that it is not tried again, unless
+    keep_failures is false. Of repeated keys in asked each has its row.
+    """
+    j = asked.join(memo.select("key", F.col("value").alias("_known"), F.lit(True).alias("_hit")), "key", "left").withColumn("_made", F.when(F.col("_hit").isNull(), make))
+    results = j.select("key", F.coalesce(F.when(F.col("_hit"), F.col("_known")).otherwise(F.col("_made")), F.lit("")).alias("value"), F.coalesce("_hit", F.lit(False)).alias("hit"))
+    new = j.where("_hit is null" if keep_failures else "_hit is null and _made is not null").select("key", F.coalesce("_made", F.lit("")).alias("value")).distinct()
+    return results, memo.select("key", "value").unionByName(new)
+
+
+def finished(answers: DataFrame, tails: dict[str, str], marker: str, heading: str | None = None) -> DataFrame:
+    """(id, mode, answer) as logged when an answer has ended: cut at the second place of a heading, closed by the tail of its mode unless it has it, without follow-up lines."""
+    text = F.coalesce("answer", F.lit(""))
+    if heading:
+        text = F.when(F.col("mode") == next(iter(tails)), F.rtrim(cut_stream(text, "\0", heading))).otherwise(text)
+    tail = F.element_at(F.create_map(*[F.lit(x) for kv in tails.items() for x in kv]), F.coalesce("mode", F.lit("")))
+    closed = F.when(tail.isNull() | F.endswith(F.rtrim(text), tail), text).otherwise(F.concat(text, F.lit("\n\n"), tail))
+    return answers.select("id", "mode", strip_followup(closed, marker).alias("answer"))
+
+
 def prompt_route(mode: Column, image: Column, context: Column, intent: Column) -> Column:
     """Which prompt a request gets: by mode, picture, sentinel of the context, then intent."""
     return F.when(mode == "audit", "audit").when(mode == "protocol", "protocol").when(image, "picture").when(context == "no_results", "plain").when(context == "no_evidence", "decline").when(context == "general", "textbook").otherwise(F.concat(F.lit("cited_"), intent))

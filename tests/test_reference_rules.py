@@ -73,7 +73,7 @@ def test_sensitivity_of_all_draws(spark, tmp_path):
         rows += [(f"f{i}", rng.choice(["原始实验", "综述", "其他"]), rng.choice(["Journal of Bark", "Blatt"]), rng.choice([None, 2000, 2010, 2018, 2024]), rng.random() < 0.6) for _ in range(3)]
     spark.createDataFrame(rows, "filename string, doc_kind string, journal string, citation_year int, in_vivo boolean").write.parquet(str(tmp_path / "extracted.parquet"))
     dims = [[x or 0.0 for x in r] for r in search_queries._dims(spark, str(tmp_path)).select(*credibility.DIMENSIONS).collect()]
-    tiers = lambda w: ["A" if (x := round(sum(a * b for a, b in zip(d, w)), 6)) >= 0.8 else "B" if x >= 0.6 else "C" for d in dims]
+    tiers = lambda w: ["A" if (x := round(sum(a * b for a, b in zip(d, w)), 3)) >= 0.8 else "B" if x >= 0.6 else "C" for d in dims]
     base, draws, rnd = tiers(credibility.WEIGHTS), [], random.Random(42)
     for _ in range(1000):
         w = [x + rnd.uniform(-0.05, 0.05) for x in credibility.WEIGHTS]
@@ -194,3 +194,54 @@ def test_files(spark, tmp_path):
     assert got["a.docx"].text == "Hello there\nEnd" and got["b.xlsx"].text == "title: T1" and got["c_ocr.txt"].text == "scanned"
     assert got["d.docx"].text is None and got["d.docx"].error and got["c.pdf"].error
     assert {r.filename for r in files.companions(files.extracted(files.listed(spark, str(tmp_path)))).where("text = 'scanned'").collect()} == {"c.pdf"}
+
+
+def test_tables_notes_and_plain_pdf(tmp_path):
+    import io
+    import zlib
+
+    def packed(parts):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return raw.getvalue()
+
+    w = '<w:document xmlns:w="http://w"><w:body><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl><w:p><w:r><w:t>first</w:t></w:r></w:p><w:p/></w:body></w:document>'
+    assert files.docx(packed({"word/document.xml": w})) == "first\ncell"
+    slide = lambda t: f'<p:sld xmlns:p="http://p" xmlns:a="http://a"><p:sp><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sp></p:sld>'
+    rels = '<Relationships><Relationship Type="http://x/notesSlide" Target="../notesSlides/notesSlide7.xml"/></Relationships>'
+    notes = '<p:n xmlns:p="http://p" xmlns:a="http://a"><p:sp><p:ph type="sldNum"/><a:p><a:r><a:t>1</a:t></a:r></a:p></p:sp><p:sp><a:p><a:r><a:t>say this</a:t></a:r></a:p></p:sp></p:n>'
+    got = files.pptx(packed({"ppt/slides/slide1.xml": slide("one"), "ppt/slides/slide2.xml": slide(" "), "ppt/slides/_rels/slide1.xml.rels": rels, "ppt/notesSlides/notesSlide7.xml": notes}))
+    assert got == "[slide 1]\none\n[notes] say this"
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(there\\)) Tj 0 -14 Td [(Wor) -20 (ld)] TJ ET")
+    raw = b"%PDF-1.4\n1 0 obj <</Type /Page /Contents 2 0 R>> endobj\n2 0 obj <</Filter /FlateDecode>> stream\n" + page + b"\nendstream endobj\n3 0 obj <</Type /Page>> endobj\n4 0 obj <</Title (A \\050b\\051) /Author <FEFF00C4>>> endobj\ntrailer <</Info 4 0 R>>"
+    assert files.pdf_pages(raw) == ["Hello (there)\nWorld", ""] and files.pdf(raw) == "Hello (there)\nWorld"
+    assert files.pdf_metadata(raw) == {"title": "A (b)", "author": "Ä"} and files.pdf_metadata(b"%PDF") == {"title": "", "author": ""}
+
+
+def test_rule_files(tmp_path):
+    (tmp_path / "r.yaml").write_text("design:\n  - id: D1\n    item: groups\n  - nothing\nother: text\n", encoding="utf-8")
+    (tmp_path / "bad.yaml").write_text("a: [", encoding="utf-8")
+    assert files.rule_file(str(tmp_path / "r.yaml"), {}) == {"design": [{"id": "D1", "item": "groups"}]}
+    assert files.rule_file(str(tmp_path / "bad.yaml"), {"x": []}) == files.rule_file(str(tmp_path / "none.yaml"), {"x": []}) == {"x": []}
+
+
+def test_report_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("p1", "X", "降糖", 1), ("p2", "X", "降糖", 2), ("p2", "Y", "抗炎", 3)], "filename string, entity string, action string, pos int")
+    lines = matrix.report(matrix.grid(matrix.pairs(rows.withColumn("raw_entity", F.col("entity")))))
+    matrix.markdown(lines, str(tmp_path / "report"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert text[0].startswith("| entity |") and text[2].startswith("| X | 2 |") and len(text) == 4 + 10
+
+
+def test_pages_by_hand_and_by_text(spark):
+    pages = spark.createDataFrame([("f", 1, "alpha beta gamma delta epsilon"), ("f", 2, "zeta eta theta iota kappa lambda")], "filename string, page_no int, text string")
+    chunks = spark.createDataFrame([(1, "f", "[summary] all"), (2, "f", "tail\nbeta gamma delta epsilon zeta eta"), (3, "f", "tail\neta theta iota kappa"), (4, "g", "x"), (5, "g", "y"), (6, "h", None)], "chunk_index int, filename string, text string")
+    given = spark.createDataFrame([("g", ["7"])], "filename string, pages array<string>")
+    got = {r.chunk_index: r.page for r in pages_of(chunks, pages, given)}
+    assert got == {1: None, 2: "1-2", 3: "2", 4: "7", 5: None, 6: None}
+
+
+def pages_of(*frames):
+    return pages.assigned(*frames).collect()

@@ -24,3 +24,34 @@ def test_daily(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "e"))
     got = _run(spark, streams.daily_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "e"))), "daily", "complete")
     assert sorted(map(tuple, got)) == sorted(map(tuple, streams.daily_counts(df).collect()))
+
+
+def test_heading_and_order():
+    view = streams.Shown("<<", "# H")
+    assert [view.add(t) for t in ("# ", "H a <", "b #", " H c", "d")] == ["", "# H a ", "<b ", "", ""] and view.stopped
+    view = streams.Shown("<<", None)
+    assert view.add("a <") == "a " and view.end() == "<"
+
+
+def test_tokens_out_of_order_and_late_requests(spark, tmp_path):
+    schema = "conv string, seq long, token string"
+    for n, rows in enumerate(([("c", 3, "C"), ("c", 1, "A")], [("c", 2, "B"), ("c", 1, "A"), ("c", 4, None)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+        out = streams.drained(streams.shown(spark.readStream.schema(schema).parquet(str(tmp_path / "t")), "<<"), str(tmp_path / "o"))
+        assert [r.text for r in out.orderBy("seq").collect()] == [["A"], ["A", "B", "C", ""]][n]
+    schema = "account string, id long, t double"
+    for n, rows in enumerate(([("a", 1, 100.0)], [("a", 2, 10.0), ("a", 3, 161.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        out = streams.drained(streams.limited(spark.readStream.schema(schema).parquet(str(tmp_path / "r")), 1), str(tmp_path / "l"))
+    assert [(r.id, r.allowed) for r in out.orderBy("id").collect()] == [(1, True), (2, False), (3, True)]
+
+
+def test_finish_and_kinds(spark, tmp_path):
+    schema, seen = "id long, kind string, done boolean", []
+    spark.createDataFrame([(1, "content", True), (2, "reasoning", False)], schema).coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
+    reasoning, content = streams.split_kinds(stream)
+    assert reasoning.isStreaming and content.isStreaming
+    streams.on_finish(stream, [lambda d, n: seen.append((n, [r.id for r in d.collect()]))], str(tmp_path / "k")).awaitTermination(120)
+    assert seen == [(0, [1])]
+
