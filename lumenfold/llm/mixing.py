@@ -24,13 +24,17 @@ BUCKETS = 256
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """docs (any columns and text) with n_tokens instead of text; null and blank texts have 0."""
+    """docs (any columns and text) with n_tokens instead of text; null and blank texts have 0.
+
+    The vocabulary is read by the driver and sent to the tasks; it is of a fixed size.
+    """
+    with open(tokenizer, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         enc = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t and t.strip() else 0 for t in texts], dtype="int64")

@@ -56,6 +56,15 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(_oversized(spark, folder)).withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", "chunk_index")
 
 
+def p5_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the index as a few large files, cut by byte ranges that no task reads beyond: (file, piece_no, cut, n_chars, digest)."""
+    place = lineage.place(spark, "texts")
+    texts = tables.table(spark, folder, "papers_index").where("text is not null").repartitionByRange(4, "chunk_index").sortWithinPartitions("chunk_index")
+    texts.select("text").write.text(place, lineSep="\n\n")
+    cut = splitting.pieces(splitting.file_ranges(spark, place))
+    return cut.select(F.regexp_extract("id", r"part-(\d+)", 1).alias("file"), "piece_no", "cut", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     logged = pairs.log_pairs(table(spark, folder, "chat_log"))
     answered = pairs.evaluation_pairs(table(spark, folder, "paper_eval_answers_v3"), table(spark, folder, "paper_eval_items_v2"))
@@ -106,5 +115,14 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
-ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS}
+#: Units of oversized texts: paragraphs, and sentences within them, without the blanks around them.
+_BOUNDARY = r"""
+WITH x AS (SELECT chunk_index, replace(replace(text, chr(13) || chr(10), chr(29) || chr(10)), chr(13), chr(10)) AS t FROM papers_index WHERE length(text) > 1000),
+p AS (SELECT chunk_index, unnest(regexp_split_to_array(t, '[ \t\f\v\x{1D}\x{3000}\x{A0}]*\n(?:[ \t\f\v\x{1D}\x{3000}\x{A0}]*\n)+')) AS u FROM x),
+s AS (SELECT chunk_index, unnest(string_split(regexp_replace(u, '([。！？；!?…]+["”’』」）)\]]*|\.+["”’)\]]*(?:[\s\x{3000}\x{A0}]|$))', '\1' || chr(30), 'g'), chr(30))) AS u FROM p),
+l AS (SELECT chunk_index, max(length(regexp_replace(u, '^[\s\x{1D}\x{3000}\x{A0}]+|[\s\x{1D}\x{3000}\x{A0}]+$', '', 'g'))) AS n, true AS par FROM p GROUP BY chunk_index UNION ALL SELECT chunk_index, max(length(regexp_replace(u, '^[\s\x{1D}\x{3000}\x{A0}]+|[\s\x{1D}\x{3000}\x{A0}]+$', '', 'g'))), false FROM s GROUP BY chunk_index)
+SELECT chunk_index, CASE WHEN max(n) FILTER (par) <= 900 THEN 'paragraph' WHEN max(n) FILTER (NOT par) <= 900 THEN 'sentence' ELSE 'inside' END AS boundary FROM l GROUP BY chunk_index
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_files": p5_files, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
+ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS, "p5_found": _BOUNDARY}

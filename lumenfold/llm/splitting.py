@@ -10,11 +10,12 @@ and running maxima, which number the pieces and measure units that span ranges.
 from __future__ import annotations
 
 import bisect
-import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,20 +45,25 @@ def ranges(rows: DataFrame, key: str, text: str, size: int = RANGE, halo: int =
     )
 
 
-def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE, halo: int = HALO) -> DataFrame:
+def file_ranges(spark: SparkSession, paths: str | list[str], size: int = RANGE, halo: int = HALO) -> DataFrame:
     """The same windows over UTF-8 files: each task seeks to its bytes, none reads a whole file.
 
-    Ranges begin at the first character at or after a multiple of size bytes; start counts
-    characters and comes from prefix sums over the lengths of the ranges.
+    paths are files, folders or patterns on any file system that the session and
+    the tasks reach; only names and lengths are listed. Ranges begin at the first
+    character at or after a multiple of size bytes; start counts characters and
+    comes from prefix sums over the lengths of the ranges. Empty files have none.
     """
-    sizes = [(p, os.path.getsize(p)) for p in paths]
-    plan = spark.createDataFrame([(p, r, n) for p, n in sizes for r in range(-(-n // size))], "id string, r int, bytes bigint").repartition(F.col("id"), F.col("r"))
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("id"), F.col("length").alias("bytes")).where("bytes > 0")
+    plan = listed.withColumn("r", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / size).cast("int")))).select("id", "r", "bytes").repartition(F.col("id"), F.col("r"))
+    opened: dict[str, pa.NativeFile] = {}
 
     def read(path: str, a: int, b: int) -> str:
         """The characters that begin in bytes [a, b)."""
-        with open(path, "rb") as f:
-            f.seek(max(a, 0))
-            raw = f.read(b - max(a, 0) + 4)
+        if path not in opened:
+            opened.clear()
+            system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+            opened[path] = system.open_input_file(name)
+        raw = opened[path].read_at(b - max(a, 0) + 4, max(a, 0))
         body = raw[: b - max(a, 0)]
         skip = next((i for i, c in enumerate(body) if c & 0xC0 != 0x80), len(body))
         more = next((i for i, c in enumerate(raw[len(body):]) if c & 0xC0 != 0x80), len(raw) - len(body))
