@@ -115,6 +115,24 @@ SELECT term, occurrences, n_rows,
 FROM c
 """
 
+_CJK = "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}"
+
+
+def _tokens(c: str) -> str:
+    """Lower-case words and single Chinese characters without accents, marks and the difference of full and half width."""
+    full, half = ("".join(chr(base + i) for i in range(94) if i != 6) for base in (0xFF01, 0x21))
+    bare = f"regexp_replace(translate({c}, '{full}', '{half}'), '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    return f"regexp_extract_all(regexp_replace(lower(strip_accents({bare})), '([{_CJK}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+#: Runs of 12 words or 20 Chinese characters that a document and an item share.
+_LEAKS = f"""
+WITH i AS (SELECT id, {_tokens('q')} AS t FROM paper_eval_items_v2 UNION ALL SELECT id, {_tokens('rubric')} FROM paper_eval_items_v2), d AS (SELECT doc_id, {_tokens('text')} AS t FROM documents),
+n AS (SELECT * FROM (VALUES (12, false), (20, true)) v(n, zh)),
+iw AS (SELECT DISTINCT id, n, zh, array_to_string(t[k:k + n - 1], ' ') AS w FROM (SELECT id, n, zh, t, unnest(range(1, len(t) - n + 2)) AS k FROM i, n)),
+dw AS (SELECT DISTINCT doc_id, n, array_to_string(t[k:k + n - 1], ' ') AS w FROM (SELECT doc_id, n, t, unnest(range(1, len(t) - n + 2)) AS k FROM d, n))
+SELECT DISTINCT doc_id, id AS item_id FROM iw JOIN dw USING (n, w) WHERE regexp_full_match(w, CASE WHEN zh THEN '[{_CJK} ]+' ELSE '[^{_CJK}]+' END)
+"""
 #: Units of oversized texts: paragraphs, and sentences within them, without the blanks around them.
 _BOUNDARY = r"""
 WITH x AS (SELECT chunk_index, replace(replace(text, chr(13) || chr(10), chr(29) || chr(10)), chr(13), chr(10)) AS t FROM papers_index WHERE length(text) > 1000),
@@ -125,4 +143,4 @@ SELECT chunk_index, CASE WHEN max(n) FILTER (par) <= 900 THEN 'paragraph' WHEN m
 """
 
 QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_files": p5_files, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
-ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS, "p5_found": _BOUNDARY}
+ORACLE = {"p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p3_terms": _TERMS, "p5_found": _BOUNDARY, "p8_found": _LEAKS}
