@@ -342,7 +342,18 @@ QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_fused_topk, tier_quota, lang_quota, authoritative_trigger, authoritative_pin, relevance_gate, context_budget, sources_list, forced_recall, answer_route, k_by_mode, search_pipeline, stored_index,
     chunk_documents, token_bag, doc_freq, weighted_tokens, index_stats, drop_and_rebuild, joined_body, safe_names, text_language, credibility_score, tier_hist, incremental_targets, merge_scores,
     sensitivity_single, sensitivity_equal, sensitivity_random, sensitivity_excluded, study_scores, paper_text, keyword_files)}
+#: Lines, and sentences of long lines, taken one by one: what is open is closed where the next does not fit.
+_CHUNKS = r"""WITH RECURSIVE ln AS (SELECT doc_id, i, regexp_replace(p, '^[\s\x{3000}\x{A0}]+|[\s\x{3000}\x{A0}]+$', '', 'g') AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+st AS (SELECT doc_id, i, j, s FROM (SELECT doc_id, i, unnest(x) AS s, generate_subscripts(x, 1) AS j FROM (SELECT doc_id, i, string_split(regexp_replace(p, '([。；;！!？?]|\. )', '\1' || chr(30), 'g'), chr(30)) AS x FROM ln WHERE length(p) > 500)) WHERE trim(s) <> ''),
+it AS (SELECT doc_id, i, 0 AS j, p AS s, 1 AS glue, false AS flush FROM ln WHERE length(p) BETWEEN 1 AND 500 UNION ALL SELECT doc_id, i, 0, '', 0, true FROM ln WHERE length(p) > 500 UNION ALL SELECT doc_id, i, j, s, 0, false FROM st UNION ALL SELECT DISTINCT doc_id, 1000000000, 0, '', 0, true FROM ln),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM it),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, '' AS cur, NULL::VARCHAR AS done FROM o
+  UNION ALL SELECT o.doc_id, o.k, CASE WHEN flush THEN '' WHEN length(cur) + length(s) + glue <= 500 THEN CASE WHEN glue = 1 AND cur <> '' THEN cur || chr(10) || s ELSE cur || s END ELSE s END,
+    CASE WHEN (flush OR length(cur) + length(s) + glue > 500) AND cur <> '' THEN cur END FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1),
+c AS (SELECT doc_id, k, CASE WHEN lag(done) OVER w IS NOT NULL THEN right(lag(done) OVER w, 100) || chr(10) || done ELSE done END AS t FROM r WHERE done IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS chunk_no, length(t) AS n_chars, md5(t) AS digest FROM c WHERE length(regexp_replace(t, '^[\s\x{3000}\x{A0}]+|[\s\x{3000}\x{A0}]+$', '', 'g')) > 30"""
 ORACLE = {
+    "chunk_documents": _CHUNKS,
     "bm25_topk": _BM25 + "SELECT query_id, rank, chunk_index, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_index DESC) AS rank FROM bm WHERE bm25 > 0) WHERE rank <= 5",
     "bm25_fused_topk": _BM25 + "SELECT query_id, rank, chunk_index, round(score, 4) AS score, round(bm25, 4) AS bm25, round(credibility, 3) AS credibility, tier FROM rk WHERE rank <= 5",
     "tier_quota": _BM25 + ", " + _QUOTA + " SELECT query_id, slot, chunk_index, tier, round(score, 4) AS score FROM t",
