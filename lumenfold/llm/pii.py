@@ -119,9 +119,6 @@ _DATE = re.compile(r"\d{6}\s?(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01
 _SPOKEN = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double)\b|[零〇一二三四五六七八九幺]", re.I)
 
 
-_NO_NAME = re.compile(r"\b(?:the|of|as|ac|acts|same|from|and|for|with|when|before|after|unlike|moreover|overall|here|is|was|are|in|to|by|bark|root|leaf|stem|fruit|twig)\b", re.I)
-
-
 def plausible(kind: int, text: str, a: int, b: int) -> bool:
     """An exact check of what the tagger found: the least a span of its kind must have."""
     found = text[a:b]
@@ -141,7 +138,7 @@ def plausible(kind: int, text: str, a: int, b: int) -> bool:
     if not "㐀" <= found[0] <= "鿿":  # whole words, as the language cuts them
         if a and text[a - 1].isalpha() or b < len(text) and text[b].isalpha():
             return False
-    return not _NO_NAME.search(t)
+    return True
 
 
 def snapped(text: str, span: tuple[int, int, int], reach: int = 2) -> tuple[int, int, int]:
