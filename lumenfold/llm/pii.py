@@ -142,8 +142,11 @@ def plausible(kind: int, text: str, a: int, b: int) -> bool:
 
 
 def snapped(text: str, span: tuple[int, int, int], reach: int = 2) -> tuple[int, int, int]:
-    """A span of a name that misses up to reach letters of a word at an edge, with them."""
+    """A span with its edges mended: an address or name ends with its line; a name that misses up to reach letters of a word at an edge has them."""
     a, b, k = span
+    if k > 2 and "\n" in (found := text[a:b]).strip():
+        a += len(found) - len(found.lstrip())
+        b = a + len(text[a:b].split("\n")[0].rstrip())
     if k == 4 and text[a].isascii():
         for n in range(1, reach + 1):
             if a - n >= 0 and text[a - n:a].isalpha() and not text[a - n - 1:a - n].isalpha():
