@@ -37,6 +37,7 @@ _LIST = rf"{_RANGE}(?:\s*;\s*{_RANGE})*"
 _BEFORE = r"(?<![A-Za-z0-9.,^])(?<![A-Za-z]-)"
 _LEAD = re.compile(rf"{_BEFORE}({_LIST})\s*$")
 _DRY = r"(?:\s*(?:of\s+)?(?:dry|dried|crude)\s+[a-z]+|\s*(?:干)?(?:药材|干品|生药))"
+_DRIED = re.compile(_DRY)
 _TAIL = re.compile(rf"{_DRY}?\s*\)?\s*\)?\s*[:=]\s*(?:about|约|[<>≤≥~]=?)?\s*({_LIST})")
 _ERROR = re.compile(rf"(?:±|\+/-)\s*{_NUM}")
 _NUMBER = re.compile(_NUM)
@@ -48,23 +49,33 @@ _ANIMAL = re.compile(r"LD50|ED50|effective dose|dose|剂量|灌胃")
 _ASSAY = re.compile(r"(?<![A-Za-z])p?(IC50|EC50|CC50|ED50|LD50|GI50|Ki|Kd|Kb|A2|MIC|MBC)(?![A-Za-z])|(content)|(含量)|(effective dose|dose)|(剂量|灌胃)")
 
 
-def assay(text: str | None) -> str | None:
-    """The name of the assay or measure that a text speaks of first, if any; one of a fixed list."""
-    m = _ASSAY.search(plain(text)) if text else None
+def _assay(plain_text: str) -> str | None:
+    m = _ASSAY.search(plain_text)
     if not m:
         return None
     return m.group(1) or ("content" if m.group(2) or m.group(3) else "dose")
 
 
+def assay(text: str | None) -> str | None:
+    """The name of the assay or measure that a text speaks of first, if any; one of a fixed list."""
+    return _kept(text)[0] if text and text.strip() else None
+
+
+_RAISED = re.compile(r"[⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺]+")
+_ALIKE = str.maketrans("−–—‒‐‑μµ；：，、∼～∙・", "------uu;:,,~~··")
+
+
 def plain(text: str) -> str:
     """text with superscripts as ^n, full-width forms, dashes, micro signs and separators unified."""
-    text = re.sub(r"[⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺]+", lambda m: "^" + m.group(0).translate(_SUPER), text)
-    text = unicodedata.normalize("NFKC", text).translate(str.maketrans("−–—‒‐‑μµ；：，、∼～∙・", "------uu;:,,~~··"))
-    return re.sub(r"\^+", "^", text).replace("​", "")
+    text = _RAISED.sub(lambda m: "^" + m.group(0).translate(_SUPER), text)
+    text = unicodedata.normalize("NFKC", text).translate(_ALIKE)
+    return (re.sub(r"\^+", "^", text) if "^" in text else text).replace("​", "")
 
 
 def number(text: str) -> Decimal | None:
     """The value of one number; a comma before exactly three digits groups thousands, unless only a zero leads it."""
+    if text.isascii() and text.isdigit():
+        return Decimal(text)
     m = re.match(r"\s*([\d.,]+)(?:\s*[x×*]\s*10\s*\^?\s*([-+]?\d+)|[eE]([-+]?\d+))?", text)
     if not m:
         return None
@@ -86,9 +97,9 @@ def _prefix(unit: str) -> tuple[int, str]:
     return 0, unit
 
 
-def _unit(m: re.Match, dose: bool) -> tuple[str, int] | None:
-    """(quantity, power of ten to its common unit: nmol/L, ng/mL, ug/g, ug/kg)."""
-    kind, text = m.lastgroup, m.group(0)
+@lru_cache(maxsize=10_000)
+def _unit(kind: str, text: str, dose: bool) -> tuple[str, int]:
+    """(quantity, power of ten to its common unit: nmol/L, ng/mL, ug/g, ug/kg) of a unit as written."""
     power, _ = _prefix(text)
     parts = re.split(r"/|·|\*|⋅", text, maxsplit=1)
     per = parts[1].strip() if len(parts) > 1 else ""
@@ -111,12 +122,20 @@ def _unit(m: re.Match, dose: bool) -> tuple[str, int] | None:
 
 
 def _values(found: str) -> list[Decimal]:
-    return [v for x in _NUMBER.findall(_ERROR.sub("", found)) if (v := number(x)) is not None]
+    return [v for x in _NUMBER.findall(_ERROR.sub("", found) if "±" in found or "+/-" in found else found) if (v := number(x)) is not None]
+
+
+def _read(text: str) -> tuple[str | None, tuple[tuple[int, str | None, Decimal, int | None], ...]]:
+    t = plain(text)
+    return _assay(t), tuple(_parsed(t))
 
 
-@lru_cache(maxsize=50_000)
-def _read(text: str) -> tuple[tuple[int, str | None, Decimal, int | None], ...]:
-    return tuple(_parsed(text))
+_remembered = lru_cache(maxsize=50_000)(_read)
+
+
+def _kept(text: str) -> tuple[str | None, tuple[tuple[int, str | None, Decimal, int | None], ...]]:
+    """What a text says; short ones are remembered."""
+    return _remembered(text) if len(text) < 500 else _read(text)
 
 
 def read(text: str | None) -> list[tuple[int, str | None, Decimal, int | None]]:
@@ -126,11 +145,10 @@ def read(text: str | None) -> list[tuple[int, str | None, Decimal, int | None]]:
     assay's name without a unit comes with quantity and power None. Null and
     blank text give nothing.
     """
-    return list(_read(text)) if text and text.strip() else []
+    return list(_kept(text)[1]) if text and text.strip() else []
 
 
-def _parsed(text: str) -> list[tuple[int, str | None, Decimal, int | None]]:
-    t = plain(text)
+def _parsed(t: str) -> list[tuple[int, str | None, Decimal, int | None]]:
     out, animal = [], bool(_ANIMAL.search(t))
     for m in _LOG.finditer(t):
         out += [(m.start(1), "molar", Decimal(10) ** -v, 9) for v in _values(m.group(1))]
@@ -138,7 +156,7 @@ def _parsed(text: str) -> list[tuple[int, str | None, Decimal, int | None]]:
     for m in _UNIT.finditer(t):
         if m.start() < done:
             continue
-        u = _unit(m, animal and not re.match(_DRY, t[m.end():m.end() + 30]))
+        u = _unit(m.lastgroup, m.group(0), animal and not _DRIED.match(t, m.end()))
         lead = _LEAD.search(t[done:m.start()])
         if lead:
             out += [(done + lead.start(1), *(u[0], v, u[1])) for v in _values(lead.group(1))]
