@@ -11,6 +11,8 @@ from lumenfold.functions import text as T
 
 K1, B = 1.5, 0.75
 CRED_DEFAULT = 0.6
+#: Tokens of queries that are sent to all tasks at most; more meet the postings in a shuffle.
+SENT = 500_000
 
 
 def tier(c: Column) -> Column:
@@ -30,7 +32,7 @@ def bm25(queries: DataFrame, postings: DataFrame, doc_freq: DataFrame, totals: D
     weight = asked.join(doc_freq, "token").crossJoin(F.broadcast(totals)).select("query_id", "token", "avgdl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight"))  # totals is one row
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     return (
-        postings.join(weight, "token")
+        postings.join(F.broadcast(weight) if asked.count() <= SENT else weight, "token")
         .groupBy("query_id", "chunk_index").agg(F.round(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / norm), 9).alias("bm25"))
         .where("bm25 > 0")
     )
