@@ -249,6 +249,9 @@ cf AS (SELECT entity, action, n, round(lo, 3) AS min_um, round(hi, 3) AS max_um,
 _S = "s AS (SELECT l_suppkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos, l_extendedprice AS value FROM lineitem)"
 _L = "l AS (SELECT DISTINCT ON (id) *, CAST(CAST(ts AS TIMESTAMP) AS DATE) AS day FROM chat_log)"
 
+#: Last digits against an even spread; the upper tail of chi squared with 9 degrees is a series of positive terms.
+_CHI2 = f"WITH {_S}, d AS (SELECT id, CAST(right(regexp_replace(CAST(value AS VARCHAR), '[^0-9]', '', 'g'), 1) AS INT) AS d FROM s WHERE value IS NOT NULL), c AS (SELECT id, d, count(*) AS o FROM d GROUP BY ALL), n AS (SELECT id, count(*) AS n, count(*) FILTER (d IN (0, 5)) AS zf FROM d GROUP BY id HAVING count(*) >= 8) SELECT n.id, n, round(sum(pow(coalesce(o, 0) - n / 10.0::DOUBLE, 2) / (n / 10.0::DOUBLE)), 4) AS stat, round(any_value(zf)::DOUBLE / n, 3) AS zero_five FROM n CROSS JOIN range(10) g(k) LEFT JOIN c ON c.id = n.id AND c.d = g.k GROUP BY n.id, n"
+
 QUERIES = {f.__name__: f for f in (
     matrix_cells, matrix_fallback, matrix_gaps, matrix_saturated, matrix_topn, matrix_pivot, matrix_report, cell_drill_down, entity_synonyms, endpoint_parse, conflicts, corpus_deviation, lastdigit_chi2, lastdigit_p, benford, step_variance, cross_table_const,
     shapiro, run_checks, data_blocks, block_checks, audit_report, cross_table_ratio, reliability_grade, log_totals, log_daily7, log_modes, log_hot_keywords, log_candidates, log_top_ips, log_page, token_valid, upsert_latest, password_hash, password_verify, insert_delete, client_ip, log_page_count, rate_limit)}
@@ -273,7 +276,8 @@ SELECT section, nr, line FROM ln WHERE section NOT IN ('gaps', 'saturated') OR n
     "endpoint_parse": "WITH " + _PARSE.format(cols="entry_id", src="extracted") + " SELECT entry_id, CAST(pos AS INT) AS pos, value, unit FROM v",
     "conflicts": _UM + " SELECT * FROM cf",
     "corpus_deviation": _UM + ", m AS (SELECT entity, median(um) AS mid FROM u WHERE um IS NOT NULL GROUP BY entity) SELECT filename, entity, action, round(um, 6) AS um, round(greatest(um / mid, mid / um), 3) AS ratio FROM u JOIN m USING (entity) WHERE um > 0 AND mid > 0 AND greatest(um / mid, mid / um) >= 3",
-    "lastdigit_chi2": f"WITH {_S}, d AS (SELECT id, CAST(right(regexp_replace(CAST(value AS VARCHAR), '[^0-9]', '', 'g'), 1) AS INT) AS d FROM s WHERE value IS NOT NULL), c AS (SELECT id, d, count(*) AS o FROM d GROUP BY ALL), n AS (SELECT id, count(*) AS n, count(*) FILTER (d IN (0, 5)) AS zf FROM d GROUP BY id HAVING count(*) >= 8) SELECT n.id, n, round(sum(pow(coalesce(o, 0) - n / 10.0::DOUBLE, 2) / (n / 10.0::DOUBLE)), 4) AS stat, round(any_value(zf)::DOUBLE / n, 3) AS zero_five FROM n CROSS JOIN range(10) g(k) LEFT JOIN c ON c.id = n.id AND c.d = g.k GROUP BY n.id, n",
+    "lastdigit_chi2": _CHI2,
+    "lastdigit_p": f"WITH x AS ({_CHI2}), y AS (SELECT *, CASE WHEN stat > 0 THEN round(greatest(1 - (SELECT sum(exp(-stat / 2 + (4.5 + k) * ln(stat / 2) - lgamma(5.5 + k))) FROM range(1000) r(k)), 0), 6) ELSE 1 END AS p FROM x) SELECT id, n, stat, zero_five, p, CASE WHEN p < 0.001 THEN 'red' WHEN zero_five > 0.5 THEN 'amber' ELSE 'ok' END AS verdict FROM y",
     "run_checks": f"""WITH {_S}, d AS (SELECT id, CAST(right(regexp_replace(CAST(value AS VARCHAR), '[^0-9]', '', 'g'), 1) AS INT) AS d FROM s), c AS (SELECT id, d, count(*) AS o FROM d GROUP BY ALL), m AS (SELECT id, count(*) AS n, count(*) FILTER (d IN (0, 5))::DOUBLE / count(*) AS zf FROM d GROUP BY id HAVING count(*) >= 8),
 ld AS (SELECT m.id, n, zf, sum(pow(coalesce(o, 0) - n / 10.0::DOUBLE, 2) / (n / 10.0::DOUBLE)) AS stat FROM m CROSS JOIN range(10) g(k) LEFT JOIN c ON c.id = m.id AND c.d = g.k GROUP BY ALL),
 f AS (SELECT id, CAST(left(printf('%.9e', abs(value)), 1) AS INT) AS d FROM s WHERE value <> 0), fc AS (SELECT id, d, count(*) AS o FROM f GROUP BY ALL), fn AS (SELECT id, count(*) AS n FROM f GROUP BY id HAVING count(*) >= 30),

@@ -195,10 +195,20 @@ _RATES = f"{_V}, r AS (SELECT cond, CASE WHEN grouping(cat) = 1 THEN 'overall' E
 
 _SCOPE = f"CASE WHEN regexp_matches({_SOLID}, '(?i)dose|服用') THEN 'refuse_search' WHEN regexp_full_match({_SOLID}, '桑.{{1,2}}最早见于.*') THEN 'refuse_full' WHEN {_any('prompt', FOREIGN)} AND NOT {_any('prompt', ALLOWED)} THEN 'refuse_foreign' ELSE 'in_scope' END"
 
+_BLANKS = "'[\\s\\x{3000}\\x{00A0}\\x{2000}-\\x{200A}\\x{0B}\\x{85}\\x{2028}\\x{2029}]+', '', 'g'"
+#: The first probe of the piece that is found in the text gives its place; pages are counted by their offsets without blanks.
+_LOCATE = f"""WITH b AS (SELECT doc_id, text, regexp_replace(text, {_BLANKS}) AS whole, regexp_replace(substr(text, 41), {_BLANKS}) AS body FROM documents),
+pr AS (SELECT doc_id, l, r, unnest(range(0, length(body) - l + 1, l)) AS o FROM b CROSS JOIN (VALUES (0, 40), (1, 20), (2, 10)) v(r, l)),
+h AS (SELECT doc_id, min_by(greatest(strpos(whole, substr(body, o + 1, l)) - 1 - o, 0), r * 1000000 + o) AS place, any_value(length(body)) AS n FROM pr JOIN b USING (doc_id) WHERE strpos(whole, substr(body, o + 1, l)) > 0 GROUP BY doc_id),
+f AS (SELECT doc_id, length(regexp_replace(left(text, i * 300), {_BLANKS})) AS o FROM (SELECT doc_id, text, unnest(range(0, CAST(floor(greatest(length(text) - 1, 0) / 300) AS BIGINT) + 1)) AS i FROM b)),
+g AS (SELECT doc_id, count(*) FILTER (o <= place) AS x, count(*) FILTER (o <= place + greatest(n - 1, 0)) AS y FROM h JOIN f USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN x = y THEN CAST(x AS VARCHAR) ELSE x || '-' || y END AS page FROM documents LEFT JOIN g USING (doc_id)"""
+
 QUERIES = {f.__name__: f for f in (
     meta_filter, scope_filter, small_talk, intent_rules, intent_texts, protocol_ratings, topic_gate, request_guard, followup_strip, stream_cut, followup_dedup, followup_parse, verdict_parse, passrate_rollup, passrate_pivot, latency_mean, eval_worklist, rule_sections, rule_rendering,
     recency_score, page_locate, page_assigned, page_texts, scoring_text, xlsx_roles, response_json, daily_stream)}
 ORACLE = {
+    "page_locate": _LOCATE,
     "meta_filter": f"WITH {_L} SELECT id, {_any(_SOLID, STRONG)} OR ({_any(_SOLID, SUBJECTS)} AND {_any(_SOLID, ACTIONS)}) AS meta FROM l",
     "scope_filter": f"WITH {_L} SELECT id, {_SCOPE} AS scope FROM l",
     "intent_rules": f"WITH {_L} SELECT id, {_case('prompt', INTENTS, 'concept')} AS intent FROM l",
