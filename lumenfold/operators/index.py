@@ -13,14 +13,21 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", size: int = 500, overl
     return docs.select(key, F.posexplode(T.chunks(F.col("text"), size, overlap)).alias("chunk_no", "text"))
 
 
-def weighted_tokens(chunks: DataFrame) -> DataFrame:
-    """(chunk_index, token, tf): words of the body once, of file stem and title three times each occurrence."""
-    body = chunks.select("chunk_index", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("token"), F.lit(1).alias("w"))
+def postings(chunks: DataFrame) -> DataFrame:
+    """(token, chunk_index, tf, dl): words of the body once, of file stem and title three times each occurrence; dl is the length of the body in characters."""
+    text = F.coalesce("text", F.lit(""))
+    dl = F.length(text).alias("dl")
+    body = chunks.select("chunk_index", F.explode(T.tokens(text)).alias("token"), F.lit(1).alias("w"), dl)
     stem = T.stem(F.coalesce("filename", F.lit("")))
     title = F.coalesce("title", F.lit(""))
     label = F.when((title != "") & (title != stem), F.concat_ws(" ", stem, title)).otherwise(stem)
-    meta = chunks.select("chunk_index", F.explode(T.tokens(label)).alias("token"), F.lit(3).alias("w"))
-    return body.unionAll(meta).groupBy("chunk_index", "token").agg(F.sum("w").cast("bigint").alias("tf"))
+    meta = chunks.select("chunk_index", F.explode(T.tokens(label)).alias("token"), F.lit(3).alias("w"), dl)
+    return body.unionAll(meta).groupBy("chunk_index", "token").agg(F.sum("w").cast("bigint").alias("tf"), F.max("dl").alias("dl")).select("token", "chunk_index", "tf", "dl")
+
+
+def weighted_tokens(chunks: DataFrame) -> DataFrame:
+    """(chunk_index, token, tf) of the postings."""
+    return postings(chunks).select("chunk_index", "token", "tf")
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:

@@ -31,16 +31,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def save(chunks: DataFrame, path: str) -> None:
     """Writes the index of chunks in place of what the folder holds; the totals last, so a folder with them is whole.
 
-    Postings are in ranges of tokens, so a query reads few row groups; the
-    postings of one token may lie in several files, however common it is.
+    Postings stay as their aggregation leaves them, sorted by token within each
+    file, so a query reads few row groups of each; the postings of one token lie
+    in many files, however common it is.
     """
     pieces = chunks.select(F.col("chunk_index").cast("bigint"), "filename", "title", "text", "page")
     pieces.write.mode("overwrite").parquet(f"{path}/pieces")
     spark = chunks.sparkSession
     kept = spark.read.schema(PIECES).parquet(f"{path}/pieces")
-    length = kept.select("chunk_index", F.length(F.coalesce("text", F.lit(""))).alias("dl"))
-    postings = index.weighted_tokens(kept).join(length, "chunk_index").select("token", "chunk_index", "tf", "dl")
-    postings.repartitionByRange("token", "chunk_index").sortWithinPartitions("token", "chunk_index").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings(kept).sortWithinPartitions("token", "chunk_index").write.mode("overwrite").parquet(f"{path}/postings")
     index.doc_freq(spark.read.schema(POSTINGS).parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/doc_freq")
     kept.agg(F.count("*").alias("n"), F.avg(F.length(F.coalesce("text", F.lit("")))).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
 
