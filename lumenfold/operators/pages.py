@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +45,65 @@ def located(rows: DataFrame, piece: str, text: str, offsets: str) -> DataFrame:
     return r.withColumn("page", page).drop("_body", "_whole", "_off", "_hit", "_start", "_end")
 
 
+class File:
+    """The pages of one file as one text without white space, taken in by their order."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.numbers, self.parts = name, [], []
+        self.text, self.offsets = "", []
+
+    def add(self, number: object, text: str) -> None:
+        self.numbers.append(number)
+        self.parts.append(text)
+
+    def close(self) -> None:
+        if self.parts:
+            self.text, self.offsets, self.parts = "".join(self.parts), [0, *accumulate(map(len, self.parts[:-1]))], []
+
+    def page(self, body: str) -> str | None:
+        """What located says of a piece without white space, by the numbers of the pages; a probe is only tried if none before it is found."""
+        self.close()
+        for n in (40, 20, 10):
+            for o in range(0, len(body) - n + 1, n):
+                at = self.text.find(body[o:o + n])
+                if at >= 0:
+                    start = max(at - o, 0)
+                    a, b = (bisect_right(self.offsets, x) - 1 for x in (start, start + len(body) - 1))
+                    known = [str(self.numbers[i]) for i in ((a,) if a == b else (a, b)) if self.numbers[i] is not None]
+                    return "-".join(known) if known or a != b else None
+        return None
+
+
+def in_files(pieces: DataFrame, pages: DataFrame) -> DataFrame:
+    """pieces, which have filename and _body, with page instead of _body; pages has filename, page_no and t; _body and t have no white space.
+
+    Pages and pieces of a file meet in one task, pages first, so a task holds
+    the text of one file, once, and its pieces pass by.
+    """
+    columns = [c for c in pieces.columns if c != "_body"]
+    row = F.struct(*columns)
+    told = pieces.select("filename", F.lit(True).alias("piece"), F.lit(None).cast(pages.schema["page_no"].dataType).alias("page_no"), F.col("_body").alias("t"), row.alias("row"))
+    read = pages.where("filename is not null").select("filename", F.lit(False).alias("piece"), "page_no", "t", F.lit(None).cast(told.schema["row"].dataType).alias("row"))
+    kind = told.select("row", F.lit(None).cast("string").alias("page")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = File("")
+        for batch in batches:
+            at, found = [], []
+            for i, (name, piece, number, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("filename", "piece", "page_no", "t")))):
+                if name is not None and name != file.name:
+                    file = File(name)
+                if not piece:
+                    file.add(number, t)
+                    continue
+                at.append(i)
+                found.append(None if name is None or t is None else file.page(t))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int32())), pa.array(found, pa.string())], ["row", "page"])
+
+    by_file = told.unionByName(read).repartition("filename").sortWithinPartitions("filename", "piece", "page_no", "t")
+    return by_file.mapInArrow(run, kind).select(*[F.col("row").getField(c).alias(c) for c in columns], "page")
+
+
 def slides(docs: DataFrame, head: str = "slide") -> DataFrame:
     """(doc_id, page_no, text): slides of a text in which each is led by a line [slide n], without those lines."""
     parts = F.regexp_extract_all("text", F.lit(rf"(?s)(\[{head} \d+\]\n.*?)(?=\n\n\[{head} \d+\]\n|\z)"), F.lit(1))
@@ -68,16 +132,10 @@ def assigned(chunks: DataFrame, pages: DataFrame, given: DataFrame, summary: str
     by_hand = by_hand.withColumn("page", F.nullif(F.get("_given", F.col("_n") - 1), F.lit(""))).drop("_given", "_n")
     rest = chunks.join(given.select("filename"), "filename", "left_anti")
     skip = F.coalesce(F.startswith("text", F.lit(summary)), F.lit(False))
-    solid = pages.select("filename", "page_no", T.no_space(F.coalesce("text", F.lit(""))).alias("t"))
-    listed = F.array_sort(F.collect_list(F.struct("page_no", "t")))
-    # The pages of one file are one document, as they are read.
-    whole = solid.groupBy("filename").agg(listed.alias("p")).select("filename", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("_whole_text"), F.transform("p", lambda x: x["page_no"]).alias("_numbers"), F.transform("p", lambda x, i: F.aggregate(F.slice(F.col("p"), 1, i), F.lit(0), lambda a, y: a + F.length(y["t"]))).alias("_offsets"))
     body = F.when(F.instr("text", "\n") > 0, F.substring(F.col("text"), F.instr("text", "\n") + 1, F.length("text"))).otherwise(F.col("text"))
-    found = located(rest.where(~skip).join(whole, "filename").withColumn("_piece", body), "_piece", "_whole_text", "_offsets")
-    number = lambda part: F.get("_numbers", F.split_part("page", F.lit("-"), F.lit(part)).try_cast("int") - 1).cast("string")
-    named = F.when(F.contains("page", F.lit("-")), F.concat_ws("-", number(1), number(2))).otherwise(number(1))
-    found = found.withColumn("page", named).select("chunk_index", F.col("page").alias("_page"))
-    return by_hand.unionByName(rest.join(found, "chunk_index", "left").withColumnRenamed("_page", "page"))
+    solid = pages.select("filename", "page_no", T.no_space(F.coalesce("text", F.lit(""))).alias("t"))
+    # Rows are told apart by themselves, so repeated numbers of pieces stay what they are.
+    return by_hand.unionByName(in_files(rest.withColumn("_body", F.when(~skip, T.no_space(body))), solid))
 
 
 def scoring_text(chunks: DataFrame, part: int = 500, budget: int = 3000) -> DataFrame:

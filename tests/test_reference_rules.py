@@ -245,3 +245,19 @@ def test_pages_by_hand_and_by_text(spark):
 
 def pages_of(*frames):
     return pages.assigned(*frames).collect()
+
+
+def test_pages_of_long_files_and_repeated_pieces(spark):
+    """A file's text is searched once for each piece, whatever the number of its pages, and rows with one number stay apart."""
+    import time
+
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(130)) for _ in range(500)]
+    rows = [(i, "f", i + 1, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "chunk_index int, filename string, page_no int, text string")
+    again = [(3, "f", "tail\n" + texts[8][50:500]), (3, "f", "tail\n" + texts[9][900:] + texts[10][:90]), (4, None, texts[4]), (5, "no file", texts[5])]
+    chunks = df.select("chunk_index", "filename", F.concat(F.lit("tail\n"), "text").alias("text")).where("chunk_index > 9").unionByName(spark.createDataFrame(again, "chunk_index int, filename string, text string"))
+    began = time.perf_counter()
+    got = sorted((r.chunk_index, r.page or "") for r in pages_of(chunks, df.select("filename", "page_no", "text"), spark.createDataFrame([], "filename string, pages array<string>")))
+    assert got == sorted([(i, str(i + 1)) for i in range(10, 500)] + [(3, "9"), (3, "10-11"), (4, ""), (5, "")])
+    assert time.perf_counter() - began < 60
