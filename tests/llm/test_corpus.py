@@ -152,6 +152,13 @@ def test_misread_of_rare_words_in_large_tables(spark, monkeypatch):
     assert {(r.chunk_index, r.line_no, r.noise) for r in scans.noise(df).collect()} == {(100, 0, "misread")}
 
 
+def test_skip_grams_are_learned_from_every_text(spark, monkeypatch):
+    """A word that is just frequent enough has a vector, however many texts there are."""
+    monkeypatch.setattr(scans, "FIT_ON", 100, raising=False)  # the number of texts above which a part was left out
+    df = spark.createDataFrame([(i, ["bark", f"w{i % 30}", "root"]) for i in range(30 * scans.LEAST)], "chunk_index bigint, words array<string>")
+    assert set(scans.skip_grams(df, scans.LEAST, 3 * df.count())) == {"bark", "root", *(f"w{i}" for i in range(30))}
+
+
 def test_recurring_misreads_are_no_codes(spark):
     """Forms of letters and digits are known by what else the corpus writes, not by their number alone."""
     seen = {"mulberry": 900, "mu1berry": 24, "14": 700, "l4": 30, "sy5y": 235, "ptp1b": 180, "co5mo5": 25, "cosmos": 600, "l9": 40, "19": 90}
