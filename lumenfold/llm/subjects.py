@@ -34,8 +34,6 @@ from lumenfold.plans import lineage
 
 BUCKETS, DIM = 1 << 15, 64
 LEAVES = 512
-#: Distinct clauses that the tree is grown on at most; which ones is told by a hash. Every clause is assigned to a leaf.
-FIT_ON = 500_000
 SHARE = 0.25
 #: A sentence that favours no subject by at least this is a general remark.
 LEAST_LEAF, LEAST = 0.08, 0.13
@@ -209,8 +207,8 @@ def _known(keys: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> tuple[np.
     return keys[keep], _sums(keep.astype(np.int64), sizes)
 
 
-def leaf_centres(texts: DataFrame, weight: np.ndarray, leaves: int = LEAVES, fit_on: int = FIT_ON) -> np.ndarray:
-    """Centres of the leaves of bisecting k-means over distinct clause vectors, weighted by their numbers in all texts."""
+def leaf_centres(texts: DataFrame, weight: np.ndarray, leaves: int = LEAVES) -> np.ndarray:
+    """Centres of the leaves of bisecting k-means over all distinct clause vectors, weighted by their numbers in all texts."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[bytes, int] = {}
@@ -238,17 +236,14 @@ def leaf_centres(texts: DataFrame, weight: np.ndarray, leaves: int = LEAVES, fit
         v = Vectors(weight)
         for batch in batches:
             x = v.of(*_flat(batch, "keys"))
-            yield pa.RecordBatch.from_arrays([_list(x.ravel(), np.full(len(x), DIM), pa.float64()), batch.column("n")], ["v", "n"])
+            yield pa.RecordBatch.from_arrays([_list(x.ravel(), np.full(len(x), DIM), pa.float32()), batch.column("n")], ["v", "n"])
 
     every = texts.select("keys", "clauses").mapInArrow(distinct, "keys array<int>, n bigint").groupBy("keys").agg(F.sum("n").cast("double").alias("n"))
-    every = lineage.written(every.withColumn("h", F.xxhash64("keys")), "clauses")
-    count = every.count()
-    if not count:
+    every = lineage.written(every, "clauses")
+    if every.isEmpty():
         return np.zeros((0, DIM), np.float32)
-    # A hash takes the same share of clauses whatever their order; all where there are no more than fit_on.
-    few = every if count <= fit_on else every.where(F.pmod("h", F.lit(1 << 20)) < int(fit_on / count * (1 << 20)))
-    points = lineage.written(few.select("keys", F.sqrt("n").alias("n")).mapInArrow(project, "v array<double>, n double"), "points")
-    points = points.select(array_to_vector("v").alias("v"), "n").persist(StorageLevel.MEMORY_AND_DISK)
+    points = lineage.written(every.select("keys", F.sqrt("n").alias("n")).mapInArrow(project, "v array<float>, n double"), "points")
+    points = points.select(array_to_vector(F.col("v").cast("array<double>")).alias("v"), "n").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = BisectingKMeans(k=leaves, featuresCol="v", weightCol="n", maxIter=8, seed=5).fit(points)
     finally:
@@ -443,7 +438,7 @@ def assign(docs: DataFrame, weight: np.ndarray, scores: np.ndarray, leaning: np.
     return docs.select("doc_id", "keys", "n_keys", "leaves", "n_leaves", "aside").mapInArrow(run, "doc_id bigint, subject string, share double")
 
 
-def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None, leaves: int = LEAVES, share: float = SHARE, fit_on: int = FIT_ON, terms_too: bool = True) -> DataFrame:
+def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None, leaves: int = LEAVES, share: float = SHARE, terms_too: bool = True) -> DataFrame:
     """(doc_id, subject, share) of the subjects of each document.
 
     Null and blank texts have no subject, nor have general remarks; passages of
@@ -458,7 +453,7 @@ def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFr
     passages = [] if items is None else [(r["id"], f, r[f]) for r in items.select("id", "q", "rubric").collect() for f in ("q", "rubric") if r[f]]
     texts = parsed(docs, passages)
     weight = term_weights(texts)
-    centres = leaf_centres(texts, weight, leaves, fit_on)
+    centres = leaf_centres(texts, weight, leaves)
     if not len(centres):
         return docs.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject")

@@ -171,6 +171,28 @@ def test_glyph_edits():
     assert {"mulberry", "rnuiberry"} & scans.glyph_edits("rnulberry") and "fruit" in scans.glyph_edits("friiit") and "again" in scans.glyph_edits("agam")
 
 
+def test_tree_is_grown_on_all_clauses(spark, monkeypatch):
+    """However many distinct clauses there are, each is a point of the tree, weighted by its number."""
+    seen = []
+
+    class Tree:
+        def __init__(self, **given):
+            pass
+
+        def fit(self, points):
+            seen.append(points.agg(F.count("*"), F.round(F.sum(F.col("n") * F.col("n")))).first())
+            return self
+
+        def clusterCenters(self):
+            return [np.zeros(subjects.DIM)]
+
+    monkeypatch.setattr(subjects, "BisectingKMeans", Tree)
+    pairs = F.expr("flatten(transform(sequence(0, 999), j -> array(cast(id as int), cast(1000 + j as int))))")
+    texts = spark.range(600).select(pairs.alias("keys"), F.array_repeat(F.lit(2), 1000).alias("clauses"))
+    subjects.leaf_centres(texts.unionAll(texts), np.ones(subjects.BUCKETS, np.float32))
+    assert [tuple(x) for x in seen] == [(600_000, 1_200_000)]
+
+
 def test_subjects(spark):
     rng = random.Random(4)
     say = {"law": ["The court fined the seller of goods.", "A licence must show the date and origin.", "Inspectors signed the audit report."], "farm": ["Growers dug the roots after leaf fall.", "Rain brought blight to the young crop.", "The orchard gave a good harvest of fruit."]}
